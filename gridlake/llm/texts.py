@@ -13,6 +13,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,12 +70,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(values: pa.Array, lower: bool) -> Words:
-    """Split texts into words and hash each."""
+def words(values: pa.Array, lower: bool, marks: bool = False, hashed: bool = True) -> Words:
+    """Split texts into words and hash each. marks: ASCII punctuation separates words too."""
     raw, at = buffers(values)
     if lower:
         raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+    inside = ~(_MARKS if marks else _SPACE)[raw]
     edge = inside.copy()
     if len(raw):
         edge[1:] &= ~inside[:-1]
@@ -88,11 +90,12 @@ def words(values: pa.Array, lower: bool) -> Words:
         stop[ends] = inside[ends - 1]  # or the text ends
     end = np.flatnonzero(stop)
     first = np.searchsorted(begin, at)
-    return Words(raw, begin, end, first, span_hashes(raw, begin, end))
+    return Words(raw, begin, end, first, span_hashes(raw, begin, end) if hashed else np.zeros(0, np.uint64))
 
 
-def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (spans in ascending order)."""
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (spans in ascending order); another for another salt."""
+    byte = mix(_BYTE + np.uint64(salt)) if salt else _BYTE
     out = np.zeros(len(begin), np.uint64)
     # By blocks, so that powers and sums stay small. A block begins where a span does.
     k = 0
@@ -102,7 +105,7 @@ def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
         n = int(hi - lo)
         power = _powers(_BASE, n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw[lo:hi]] * power, out=sums[1:])
+        np.cumsum(byte[raw[lo:hi]] * power, out=sums[1:])
         a, b = begin[k:j] - lo, end[k:j] - lo
         back = _powers(_INVERSE, n + 1)
         out[k:j] = mix((sums[b] - sums[a]) * back[a] ^ mix((b - a).astype(np.uint64)))
