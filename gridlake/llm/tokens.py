@@ -2,8 +2,9 @@
 
 A byte-level BPE with the usual split pattern never joins a space and the visible character after it to what stands
 before them. A text can so be cut before each such space and each chunk encoded by itself. A text in which a space is
-followed by further white space is encoded in one go instead. Chunks that were seen before come from a cache of bounded
-size; the ids are the library's own either way.
+followed by further white space is encoded in one go instead. The ids of a chunk that is not in the cache come from the
+library: from its model, piece by piece of the split pattern, where all characters are of the common alphabets, else
+from its whole encoder. Two generations of chunks are kept, each of a bounded number; the ids are the same either way.
 """
 
 from __future__ import annotations
@@ -13,15 +14,42 @@ import re
 import struct
 
 import numpy as np
+import regex
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 _RUN = re.compile(r" \s")
-# The byte-level scheme shows a byte as itself where it is printable, and else as the next free code point from 256 on.
+# Fixed values of the byte-level scheme: the split pattern, and a byte shown as itself where it is printable, else as
+# the next free code point from 256 on.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SPACE = _VISIBLE[32]
+_COMMON = "԰"  # Latin, Greek and Cyrillic letters are below
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Chunks(dict):
+    """Ids by chunk; a missing chunk is looked up in the generation before, or encoded."""
+
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.encoder, self.old = encoder, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if max(chunk) < _COMMON and chunk.replace("\n", "").isprintable():
+                if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+                    ids = self.encoder.piece(chunk)
+                else:
+                    pieces = _PIECE.findall(chunk)
+                    ids = b"".join([self[x] for x in pieces]) if len(pieces) > 1 else self.encoder.piece(chunk)
+            else:
+                ids = self.encoder.whole(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to arrays of ids, followed by an end id."""
 
@@ -33,79 +61,35 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-        self.model = self.tokenizer.model
-        self.pack = {n: struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(1, 65)}
-
-    def _word(self, piece: str) -> bytes:
-        """The ids of one piece that the split pattern leaves whole: letters, perhaps after a space."""
-        ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))]
-        return self.pack[len(ids)](*ids) if 0 < len(ids) <= 64 else np.array(ids, self.kind).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of all chunks into self.young."""
-        if len(self.young) + len(chunks) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        odd: list[str] = []
-        joint: list[tuple[str, list[str]]] = []
-
-        def learn(x: str) -> None:
-            if (ids := old.get(x)) is not None:
-                young[x] = ids
-            elif (x[1:] if x[0] == " " else x).isalpha():
-                young[x] = self._word(x)
-            else:
-                parts = pieces_of(x)
-                if len(parts) == 1:
-                    odd.append(x)
-                    return
-                for y in parts:
-                    if y not in young:
-                        learn(y)
-                joint.append((x, parts))
-
-        for x in chunks - young.keys():
-            learn(x)
-        for k in range(0, len(odd), 5_000):
-            part = odd[k : k + 5_000]
-            young.update(zip(part, self._ids(part), strict=True))
-        for x, parts in joint:
-            young[x] = b"".join([young[y] for y in parts])
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pack = [struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(65)]
+        self.chunks = _Chunks(self, {})
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of what the split pattern leaves in one piece."""
+        if not piece.isascii() or "\n" in piece:
+            shown = piece.encode().decode("latin-1").translate(_VISIBLE)
+        else:
+            shown = _SPACE + piece[1:] if piece[0] == " " else piece
+        ids = [x.id for x in self.tokenize(shown)]
+        return self.pack[len(ids)](*ids) if len(ids) <= 64 else np.array(ids, self.kind).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        """The ids of any text."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes of self.kind."""
-        chunks: list[list[str] | None] = []
-        seen: set[str] = set()
+        out = []
         for text in texts:
-            if _RUN.search(text):
-                chunks.append(None)
-                continue
-            parts = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-            chunks.append(parts)
-            seen.update(parts)
-        seen.discard("")
-        self._learn(seen)
-        self.young[""] = b""
-        get = self.young.__getitem__
-        return [(b"".join(map(get, parts)) if parts is not None else self._ids([text])[0]) + self.end for parts, text in zip(chunks, texts, strict=True)]
-
-
-def pieces_of(chunk: str) -> list[str]:
-    """A chunk cut where the split pattern always cuts: at single line ends, and before a closing mark after letters."""
-    if "\n" in chunk:
-        lines = chunk.split("\n")
-        if all(x and not x[-1].isspace() for x in lines[:-1]) and all(x and not x[0].isspace() for x in lines[1:]):
-            return [y for k, x in enumerate(lines) for y in ((["\n"] if k else []) + pieces_of(x))]
-        return [chunk]
-    if chunk[-1:] in ".,;:!?" and (chunk[1:-1] if chunk[0] == " " else chunk[:-1]).isalpha():
-        return [chunk[:-1], chunk[-1]]
-    return [chunk]
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks = _Chunks(self, self.chunks)
+                self.chunks.old.old = {}
+            if _RUN.search(text) or "\0" in text:
+                out.append(self.whole(text) + self.end)
+            else:
+                out.append(b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0"))) + self.end)
+        return out
 
 
 def encoder(path: str, end_id: int) -> Encoder:
