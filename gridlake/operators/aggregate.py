@@ -37,15 +37,14 @@ def aggregate(cells: Cells, reducer: str | Callable[[Column], Column], scale: An
     value is. Partial aggregates are made before the shuffle.
     """
     by = scales(cells.grid, scale)
-    df, grid, block = cells.df, cells.grid, 1
+    df, grid, block = cells.df.withColumn("_order", F.struct(*cells.columns)), cells.grid, 1
     for name, s in by.items():
         d = cells.grid[name]
         block *= s
         grid = grid.with_dim(d.aggregate(s))
         if s > 1:
             df = df.filter(F.col(d.column) <= d.n // s * s).withColumn(d.column, (F.floor((F.col(d.column) - 1) / s) + 1).cast("int"))
-    order = F.struct(*cells.columns)
-    value = lambda x: reduce_column(reducer, F.col(x), order)
+    value = lambda x: reduce_column(reducer, F.col(x), F.col("_order"))
     out = df.groupBy(*grid.columns).agg(*((value(x) if skipmissing else F.when(F.count(x) == block, value(x))).alias(x) for x in cells.layers))
     return Cells(out, grid, cells.layers, cells.missingval)
 

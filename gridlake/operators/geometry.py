@@ -122,7 +122,7 @@ def within(geoms: DataFrame, grid: Grid) -> DataFrame:
 
 
 def burn(geoms: DataFrame, grid: Grid, carry: list[str] | None = None, boundary: str = "center", shape: str | None = None, kinds: tuple[str, ...] = ("point", "line", "polygon"), atol: float = 0.0) -> DataFrame:
-    """The cells of each geometry, each once: geom_id, carry, xi, yi.
+    """The cells of each line and polygon, each once, and of each point: geom_id, carry, xi, yi.
 
     shape burns every geometry as that kind. kinds: those that occur, where the caller knows. boundary of polygons:
     center, touches (also the cells of their edges) or inside (without those); with points sampling only center has a
@@ -139,18 +139,18 @@ def burn(geoms: DataFrame, grid: Grid, carry: list[str] | None = None, boundary:
         if kind == "point":
             parts.append(burn_points(own, grid, carry, atol))
         elif kind == "line":
-            parts.append(burn_lines(within(own, grid), grid, carry).drop("ring", "seg", "k"))
+            parts.append(burn_lines(within(own, grid), grid, carry).drop("ring", "seg", "k").dropDuplicates(["geom_id", "xi", "yi"]))
         else:
             own = within(own, grid)
             filled = burn_polygons(own, grid, carry)
             if boundary != "center" and grid["X"].sampling == "intervals":
                 edge = burn_lines(own, grid, carry, closed=True).drop("ring", "seg", "k")
                 if boundary == "touches":
-                    filled = filled.unionByName(edge)
+                    filled = filled.unionByName(edge).dropDuplicates(["geom_id", "xi", "yi"])
                 else:
                     filled = filled.join(edge.select("geom_id", "xi", "yi").distinct(), ["geom_id", "xi", "yi"], "left_anti").select(edge.columns)
             parts.append(filled)
-    return reduce(lambda a, b: a.unionByName(b), parts).dropDuplicates(["geom_id", "xi", "yi"])
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def missed(geoms: DataFrame, burned: DataFrame) -> DataFrame:

@@ -74,11 +74,11 @@ def _axis_map(source: Dim, target: Dim, method: str) -> list[tuple[int, int, flo
             kernel, reach = KERNELS[method]
             at = edge(to_source((low + high) / 2)) + 0.5
             if 0.5 <= at <= source.n + 0.5:
-                out += [(i, j, w) for i, w in _taps(at, source.n, kernel, reach)]
+                out += [(i, j, float(w)) for i, w in _taps(at, source.n, kernel, reach)]
         else:
             a, b = sorted((edge(to_source(low)), edge(to_source(high))))
             for i in range(max(1, math.floor(a + 1e-9) + 1), min(source.n, math.ceil(b - 1e-9)) + 1):
-                out.append((i, j, min(b, i) - max(a, i - 1)))
+                out.append((i, j, float(min(b, i) - max(a, i - 1))))
     return out
 
 
