@@ -80,8 +80,8 @@ class Dim:
         if self.bounds is not None:
             return tuple(self.bounds[i - 1])
         if self.regular:
-            low = self.coord(i) - LOCI[self.locus] * self.step
-            return tuple(sorted((low, low + self.step)))
+            low = self.coord(i) - LOCI[self.locus] * abs(self.step)
+            return low, low + abs(self.step)
         x = self.values()
         near = [(x[k] + x[k + 1]) / 2 for k in range(self.n - 1)]
         edges = [x[0] - (near[0] - x[0]), *near, x[-1] + (x[-1] - near[-1])] if near else [x[0], x[0]]
@@ -89,8 +89,8 @@ class Dim:
 
     @property
     def origin(self) -> float:
-        """The outer edge of cell 1 on a regular axis."""
-        return self.coord(1) - LOCI[self.locus] * self.step
+        """The outer edge of cell 1 on a regular axis: its lower bound, or on a reversed axis its upper."""
+        return self.interval(1)[0 if self.step > 0 else 1]
 
     def extent(self) -> tuple:
         """Least and greatest coordinate, cell edges included for intervals."""
@@ -160,7 +160,7 @@ class Dim:
             return replace(self, n=n, start=self.coord(1) + (scale - 1) / 2 * self.step, step=self.step * scale, first=1)
         k = self.offset(self.locus if self.regular else locus, scale)
         if self.regular:
-            return replace(self, n=n, start=self.coord(1 + (0 if self.locus == "start" else scale - 1)), step=self.step * scale, first=1)
+            return replace(self, n=n, start=self.coord(1 + k), step=self.step * scale, first=1)
         pick = lambda x: None if x is None else tuple(x[k : n * scale : scale])
         bounds = None if self.bounds is None else tuple((self.bounds[j * scale][0], self.bounds[j * scale + scale - 1][1]) for j in range(n))
         return replace(self, n=n, coords=pick(self.coords), bounds=bounds)
@@ -169,14 +169,17 @@ class Dim:
         if scale == 1 or not self.regular:
             return self if scale == 1 else Dim(self.name, self.n * scale)
         step = self.step / scale
-        start = {"start": self.coord(1), "end": self.coord(1) - (scale - 1) * step, "center": self.coord(1) - (scale - 1) / 2 * step}[self.locus]
+        if self.locus == "center":
+            start = self.coord(1) - (scale - 1) / 2 * step
+        else:  # the coordinate of cell 1 is that of its first or last part
+            start = self.coord(1) - self.offset(self.locus, scale) * step
         return replace(self, n=self.n * scale, start=start, step=step, first=1)
 
     def shifted(self, locus: str) -> Dim:
         """The same intervals under another locus."""
         if not self.regular:
             raise ValueError(f"axis {self.name} is not regular")
-        return replace(self, start=self.coord(1) + (LOCI[locus] - LOCI[self.locus]) * self.step, first=1, locus=locus)
+        return replace(self, start=self.coord(1) + (LOCI[locus] - LOCI[self.locus]) * abs(self.step), first=1, locus=locus)
 
 
 @dataclass(frozen=True)
