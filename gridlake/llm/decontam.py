@@ -1,7 +1,7 @@
 """Benchmark decontamination with spaced seeds.
 
 A fixed mask of ten places ignores three of them, so a seed survives substitutions there. Every benchmark item's seeds
-(several masks; short items use a contiguous mask of their length) go into sorted arrays with item and place; documents
+(several masks; items below 20 words use masks of four words, those below 6 one of all their words) go into sorted arrays with item and place; documents
 are hashed the same way and searched in those arrays, which is the join. The arrays are sent to the executors only up to
 a stated size; a larger benchmark is taken in blocks of items, each a pass over the documents. Around each hit the item
 is laid over the document on the hit's diagonal and words are compared one by one, so substitutions cost their words
@@ -28,16 +28,24 @@ from . import texts
 # Fixed masks: span 10, weight 7. Each begins and ends with a place that counts.
 MASKS = ("1101100111", "1110010111", "1011011011")
 SPAN = 10
+SHORT_MASKS = ("1111", "110011", "101101")  # for items below SHORT words
+SHORT_SPAN = 6
+SHORT = 20
 WINDOW = 24
 SHARE = 0.75
 SEEDS_AT_ONCE = 1_000_000  # 24 bytes each
 OVERLAP = "doc_id long, item_id long, n_equal int, n_words int, first_word int"
 
 
+def _places(masks: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in masks]
+
+
 def _masks(words: int) -> list[np.ndarray]:
-    if words < SPAN:
+    """Masks for an item; one below SHORT_SPAN words is one contiguous seed."""
+    if words < SHORT_SPAN:
         return [np.arange(words)]
-    return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in MASKS]
+    return _places(SHORT_MASKS if words < SHORT else MASKS)
 
 
 def _seeds(hashes: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -54,7 +62,8 @@ class Items:
 
     def __init__(self, ids: list[int], hashes: list[np.ndarray]):
         self.ids, self.hashes = ids, hashes
-        self.short = sorted({len(h) for h in hashes if len(h) < SPAN})
+        sizes = {len(h) for h in hashes}
+        self.masks = [*(_places(MASKS) if max(sizes) >= SHORT else []), *(_places(SHORT_MASKS) if any(SHORT_SPAN <= n < SHORT for n in sizes) else []), *(np.arange(n) for n in sorted(sizes) if n < SHORT_SPAN)]
         rows = [(m, np.full(len(s), k), np.arange(len(s))) for k, h in enumerate(hashes) for mask in _masks(len(h)) for s in [_seeds(h, mask)] for m in [s]]
         seed = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
         order = np.argsort(seed, kind="stable")
@@ -65,7 +74,7 @@ class Items:
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and diagonals (document place less item place) of all seed hits in a run of word hashes."""
         items, diagonals = [], []
-        for mask in [*_masks(SPAN), *(np.arange(n) for n in self.short)]:
+        for mask in self.masks:
             seed = _seeds(hashes, mask)
             low = np.searchsorted(self.seed, seed)
             at = np.flatnonzero(self.seed[np.minimum(low, len(self.seed) - 1)] == seed) if len(self.seed) else np.zeros(0, int)
