@@ -43,6 +43,7 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "code", "sub", "sup", "br", "u", "small", "mark", "q", "cite", "abbr", "time", "s", "del", "ins", "kbd", "font"}
+KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}  # an article's headings are no template
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 PARTS = {
     "nav", "navbar", "navigation", "menu", "menubar", "header", "masthead", "banner", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent",
@@ -210,6 +211,11 @@ def pruned(source: str | None) -> Element:
     return top
 
 
+def _candidate(e: Element) -> bool:
+    """Whether a subtree may be template: outside an article any, inside it boxes and marked elements."""
+    return not e.inside or (e.tag not in KEPT and (e.marked or e.tag not in PLAIN))
+
+
 def _digest(e: Element, out: dict[int, None]) -> bytes:
     """Hash every subtree; note those that may be template."""
     h = blake2b(e.tag.encode(), digest_size=8)
@@ -222,7 +228,7 @@ def _digest(e: Element, out: dict[int, None]) -> bytes:
             h.update(b"\1" + _digest(c, out))
     d = h.digest()
     e.digest = int.from_bytes(d, "little", signed=True)
-    if e.tag not in ("#main", "article", "main", "body", "html", "br", "hr", "img") and e.children and (not e.inside or e.marked or e.tag not in PLAIN):
+    if e.tag not in ("#main", "article", "main", "body", "html", "br", "hr", "img") and e.children and _candidate(e):
         out[e.digest] = None
     return d
 
@@ -245,7 +251,7 @@ def blocks(top: Element, template: frozenset[int] | set[int] = frozenset()) -> l
             end()
         elif isinstance(e, str):
             run.append(e)
-        elif e.digest in template and (not e.inside or e.marked or e.tag not in PLAIN):
+        elif e.digest in template and _candidate(e):
             continue
         elif e.tag == "br":
             run.append(" ")
@@ -283,16 +289,19 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, found = [], []
+            hosts, found, whole = [], [], []
             for url, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own: dict[int, None] = {}
-                _digest(pruned(source), own)
+                top = pruned(source)
+                _digest(top, own)
                 hosts += [host(url)] * (len(own) + 1)
                 found += [None, *own]  # None counts the page
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "subtree"])
+                whole += [top.digest] * (len(own) + 1)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(whole, pa.int64())], names=["host", "subtree", "page"])
 
-    counted = source.mapInArrow(hashes, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    many = counted.filter((F.col("n") >= MANY))
+    # A subtree that only copies of one page have is not template.
+    counted = source.mapInArrow(hashes, "host string, subtree long, page long").groupBy("host", "subtree").agg(F.count("*").alias("n"), F.min("page").alias("p0"), F.max("page").alias("p1"))
+    many = counted.filter((F.col("n") >= MANY) & (F.col("subtree").isNull() | (F.col("p0") != F.col("p1"))))
     # A host's page count is the row with no subtree; hosts with fewer than MANY pages have no template.
     per_host = many.groupBy("host").agg(F.max(F.when(F.col("subtree").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "n"))).alias("subtrees"))
     template = per_host.select("host", F.transform(F.filter("subtrees", lambda s: s["n"] >= SHARE * F.col("pages")), lambda s: s["subtree"]).alias("template")).filter(F.size("template") > 0)
