@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, html_text, jaccard, line_dedup, packing, quality, secrets, token_files, warc
+from .oracles import ORACLES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -65,4 +66,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
