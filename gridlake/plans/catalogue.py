@@ -135,8 +135,8 @@ _add("warp_flags", _on(li, lambda c: resample.warp(c["price"], {"te": (0.5, -0.5
 _LONLAT = Grid((Dim("X", 36, -180.0, 10.0, sampling="intervals", locus="start", crs="EPSG:4326", mappedcrs="EPSG:4326"), Dim("Y", 16, -80.0, 10.0, sampling="intervals", locus="start", crs="EPSG:4326", mappedcrs="EPSG:4326")))
 _MERCATOR_Y = "ln(tan(radians(-80 + (i - 1) * 10.0) / 2 + pi() / 4)) * 6378137.0"
 _axis = lambda s, d: s.createDataFrame([(i, round(v, 4) + 0.0) for i, v in enumerate(d.values(), 1)], "i int, coord double")
-_add("reproject_axis", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:3857")), f"select cast(i as int) as i, round({_MERCATOR_Y}, 4) as coord from range(1, 17) r(i)")
-_add("reproject_axis_x", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["X"], "EPSG:3857")), "select cast(i as int) as i, round(radians(-180 + (i - 1) * 10.0) * 6378137.0, 4) as coord from range(1, 37) r(i)")
+_add("reproject_axis", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:3857")), f"select cast(i as int) as i, round({_MERCATOR_Y}, 4) + cast(0 as double) as coord from range(1, 17) r(i)")
+_add("reproject_axis_x", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["X"], "EPSG:3857")), "select cast(i as int) as i, round(radians(-180 + (i - 1) * 10.0) * 6378137.0, 4) + cast(0 as double) as coord from range(1, 37) r(i)")
 _add("reproject_equal_area", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:6933")))
 _add("select_projected", lambda s, d: select.sel(allocate(s, Grid((Dim("X", 3, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857", mappedcrs="EPSG:4326"),)), {"value": "int"}, 1), X=Between(0.89, 2.7)).df, "select cast(i as int) as xi, cast(1 as int) as value from range(1, 3) r(i)")
 _AFFINE = resample.Affine(0.0, 2.0, 0.5, 0.0, 0.25, 1.0)
