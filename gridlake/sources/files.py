@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..cells import Cells
 from ..grid import Dim, Grid
+from ..operators.values import scaled
 
 STRIP_CELLS = 1_000_000
 #: numpy kinds to SQL types; unsigned ones widen.
@@ -130,7 +131,8 @@ def read_file(spark: SparkSession, form: type[Format], path: str, raw: bool = Fa
     df: DataFrame = spark.read.format(form.name).option("path", path).option("raw", str(raw).lower()).load()
     grid = h.grid(dropband)
     layer = name or h.layer
-    return Cells(df.withColumnRenamed(h.layer, layer).select(*grid.columns, layer), grid, (layer,), h.missing)
+    df = scaled(df.withColumnRenamed(h.layer, layer), layer, h.more.get("scale", 1.0), h.more.get("offset", 0.0), raw=raw)
+    return Cells(df.select(*grid.columns, layer), grid, (layer,), h.missing)
 
 
 def dense_array(cells: Cells, layer: str, kind: np.dtype, missing: float) -> np.ndarray:

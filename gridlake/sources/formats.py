@@ -1,4 +1,4 @@
-"""File formats: GRD (.grd and .gri), ASCII grid (.asc), uncompressed GeoTIFF (.tif), Zarr version 2 (.zarr)."""
+"""File formats: GRD (.grd and .gri), ASCII grid (.asc), uncompressed GeoTIFF (.tif), Zarr 2 (.zarr), classic NetCDF (.nc)."""
 
 from __future__ import annotations
 
@@ -220,8 +220,92 @@ class Zarr(Format):
         return out
 
 
-FORMATS: tuple[type[Format], ...] = (Grd, AsciiGrid, GeoTiff, Zarr)
-UNAVAILABLE = {".nc": "NetCDF", ".nc4": "NetCDF", ".h5": "HDF5", ".grib": "GRIB", ".grb": "GRIB"}
+# Type codes of the classic NetCDF format.
+NC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
+
+
+class NetCdf(Format):
+    """Classic NetCDF (versions 1, 2 and 5). The first variable over a y and an x axis is the layer; axes before them
+    run together as bands. _FillValue or missing_value, scale_factor and add_offset follow the CF conventions."""
+
+    name, extensions = "gridlake_nc", (".nc",)
+
+    @staticmethod
+    def _contents(path: str) -> tuple[list, dict, dict, int]:
+        with open_file(path) as f:
+            magic = f.read(4)
+            if magic[:3] != b"CDF" or magic[3] not in (1, 2, 5):
+                raise NotImplementedError(f"{path} is not classic NetCDF; HDF5-based files need a library that is not installed")
+            wide = magic[3] == 5
+            number = lambda: struct.unpack(">q" if wide else ">i", f.read(8 if wide else 4))[0]
+            code = lambda: struct.unpack(">i", f.read(4))[0]
+
+            def padded(n: int) -> bytes:
+                return f.read(n + -n % 4)[:n]
+
+            def attributes() -> dict:
+                code()
+                out = {}
+                for _ in range(number()):
+                    name = padded(number()).decode()
+                    kind, n = NC_TYPES[code()], number()
+                    data = padded(n * np.dtype(kind).itemsize)
+                    out[name] = data.decode() if kind == "S1" else np.frombuffer(data, kind).tolist()
+                return out
+
+            records = number()
+            code()
+            dims = [(padded(number()).decode(), number()) for _ in range(number())]
+            top = attributes()
+            code()
+            variables = {}
+            for _ in range(number()):
+                name = padded(number()).decode()
+                ids = [number() for _ in range(number())]
+                own, kind, _ = attributes(), NC_TYPES[code()], number()
+                begin = struct.unpack(">i" if magic[3] == 1 else ">q", f.read(4 if magic[3] == 1 else 8))[0]
+                variables[name] = {"dims": ids, "attributes": own, "kind": np.dtype(kind), "begin": begin}
+        return dims, top, variables, records
+
+    @staticmethod
+    def _axis(path: str, dims: list, variables: dict, name: str) -> tuple[float, float]:
+        n = dict(dims)[name]
+        if name not in variables:
+            return 0.5, 1.0
+        v = variables[name]
+        values = np.frombuffer(read_range(path, v["begin"], n * v["kind"].itemsize), v["kind"]).astype(float)
+        step = float(values[-1] - values[0]) / (n - 1) if n > 1 else 1.0
+        if n > 2 and not np.allclose(np.diff(values), step, rtol=1e-3):
+            raise ValueError(f"{path}: axis {name} is not regular")
+        return float(values[0]) - abs(step) / 2, step  # centres on disk
+
+    @staticmethod
+    def header(path: str) -> Header:
+        dims, _, variables, records = NetCdf._contents(path)
+        name = next(k for k, v in variables.items() if len(v["dims"]) >= 2 and v["kind"].kind != "S" and not k.endswith(("_bnds", "_bounds")))
+        v = variables[name]
+        shape = [dims[d][1] or records for d in v["dims"]]
+        recorded = dims[v["dims"][0]][1] == 0
+        per = int(np.prod(shape[1:])) * v["kind"].itemsize
+        # Each record holds one slice of every variable over the record axis, padded to four bytes.
+        sizes = [int(np.prod([dims[d][1] for d in u["dims"][1:]])) * u["kind"].itemsize for u in variables.values() if u["dims"] and dims[u["dims"][0]][1] == 0]
+        stride = (sizes[0] if len(sizes) == 1 else sum(n + -n % 4 for n in sizes)) if recorded else per
+        a = v["attributes"]
+        missing = a.get("_FillValue", a.get("missing_value", [None]))[0]
+        more = {"begin": v["begin"], "stride": stride, "inner": int(np.prod(shape[1:-2])) if len(shape) > 2 else 1, "scale": a.get("scale_factor", [1.0])[0], "offset": a.get("add_offset", [0.0])[0]}
+        x, y = (NetCdf._axis(path, dims, variables, dims[v["dims"][k]][0]) for k in (-1, -2))
+        return Header(shape[-1], shape[-2], int(np.prod(shape[:-2])), v["kind"], x, y, missing, name, more=more)
+
+    @staticmethod
+    def rows(path: str, h: Header, band: int, low: int, high: int) -> np.ndarray:
+        row = h.nx * h.kind.itemsize
+        outer, inner = divmod(band, h.more["inner"])
+        start = h.more["begin"] + outer * h.more["stride"] + (inner * h.ny + low) * row
+        return np.frombuffer(read_range(path, start, (high - low) * row), h.kind).reshape(-1, h.nx)
+
+
+FORMATS: tuple[type[Format], ...] = (Grd, AsciiGrid, GeoTiff, Zarr, NetCdf)
+UNAVAILABLE = {".nc4": "NetCDF 4", ".h5": "HDF5", ".grib": "GRIB", ".grb": "GRIB"}
 
 
 def format_of(path: str) -> type[Format]:

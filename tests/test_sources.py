@@ -69,6 +69,36 @@ def test_zarr(spark, tmp_path):
     assert np.array_equal(np.array(array(c), float).T, a) and c.grid["Y"].order == "reverse"
 
 
+def _classic(records):
+    """A classic NetCDF file by hand: t (record axis or not), y, x, and packed values of type short."""
+    import struct
+
+    n = lambda v: struct.pack(">i", v)
+    text = lambda s: n(len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    att = lambda k, kind, code, v: text(k) + n(kind) + n(1) + struct.pack(code, v) + b"\0" * (-struct.calcsize(code) % 4)
+    y, x = np.array([20.0, 10.0, 0.0], ">f8").tobytes(), np.array([1.0, 2.0], ">f8").tobytes()
+    values = np.arange(12, dtype=">i2").tobytes()
+    dims = n(10) + n(3) + text("t") + n(0 if records else 2) + text("y") + n(3) + text("x") + n(2)
+    packed = n(12) + n(3) + att("_FillValue", 3, ">h", 5) + att("scale_factor", 6, ">d", 0.5) + att("add_offset", 6, ">d", 100.0)
+
+    def head(at):
+        none = n(0) + n(0)
+        return b"CDF\1" + n(2 if records else 0) + dims + none + n(11) + n(3) + text("y") + n(1) + n(1) + none + n(6) + n(24) + n(at) + text("x") + n(1) + n(2) + none + n(6) + n(16) + n(at + 24) + text("tos") + n(3) + n(0) + n(1) + n(2) + packed + n(3) + n(12) + n(at + 40)
+
+    return head(len(head(0))) + y + x + values
+
+
+@pytest.mark.parametrize("records", [True, False])
+def test_classic_netcdf(spark, tmp_path, records):
+    path = tmp_path / "a.nc"
+    path.write_bytes(_classic(records))
+    c = io.read(spark, str(path))
+    assert c.layers == ("tos",) and [d.n for d in c.grid.dims] == [2, 3, 2] and c.grid["Y"].order == "reverse"
+    assert c.grid.extent()["Y"] == (-5.0, 25.0)
+    assert array(c)[0] == [[100.0, 103.0], [101.0, 104.0], [102.0, 105.0]] and array(c)[1][2] == [N, 105.5]
+    assert io.read(spark, str(path), raw=True).df.filter("tos = 5").count() == 1
+
+
 def test_series_and_stack(spark, rast, tmp_path):
     for k in (2, 1):
         io.write(rast.map(lambda v, k=k: v * k), str(tmp_path / f"s_{k}.grd"))
@@ -92,7 +122,7 @@ def test_parquet_partitions_and_pushdown(spark, rast, tmp_path):
 
 def test_unavailable():
     with pytest.raises(NotImplementedError):
-        format_of("a.nc")
+        format_of("a.nc4")
     with pytest.raises(ValueError):
         format_of("a.what")
     assert format_of("x/y.grd") is Grd
