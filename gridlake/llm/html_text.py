@@ -38,7 +38,7 @@ SALTS = 16
 OUT = "page_id long, url string, text string, n_chars long"
 
 # HTML element names and usual names of page parts.
-DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "label", "fieldset", "dialog", "menu", "map"}
+DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "title", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "label", "fieldset", "dialog", "menu", "map"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
@@ -126,6 +126,13 @@ def parse(source: str) -> Element:
                 if stack[k].tag in ("article", "main", "body", "td", "th", "section", "div") and tag in PLAIN and tag not in ("td", "th", "tr", "table"):
                     break
             continue
+        # A head ends where the page's content begins, and a menu that was not closed where an article does.
+        ended = {"head"} if tag in BLOCKS and tag != "html" else set()
+        ended |= {"nav"} if tag in ("article", "main") else set()
+        for k in range(len(stack) - 1, 0, -1) if ended else ():
+            if stack[k].tag in ended:
+                del stack[k:]
+                break
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":

@@ -309,6 +309,12 @@ def test_decontamination(spark, odd, monkeypatch):
     assert decontam.overlaps(texts(spark, rows), frame.limit(0)).collect() == [] and decontam.clean(texts(spark, rows).limit(0), frame).collect() == []
 
 
+def test_html_unclosed_parts(spark):
+    pages = ["<head><title>T</title><style>x{}</style><body><p>a", "<title>T</title><p>b</p>", "<nav><ul><li>m<article><p>c</article>", "<article><p>d <b>e<p>f &am", "<article><p>g<b", "<article><div class='header'><h2 class=x>H</h2>by</div><p>i</p></article>"]
+    df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(df).orderBy("page_id").collect()] == ["a", "b", "c", "d e\n\nf &am", "g", "H\n\ni"]
+
+
 def test_character_references_are_decoded_once(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>&amp;lt; &#x41;&nbsp;b</p></article>")], "page_id long, url string, html string")
     assert html_text.extract(df).first().text == html.unescape("&amp;lt; A b").replace(" ", " ")
