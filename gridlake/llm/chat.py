@@ -85,11 +85,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def parse_chats(chats: DataFrame) -> DataFrame:
     """Read formatted conversations back: conv_id, turns (role, text) and loss_text, unescaped."""
     not_text = r"(?<!\\)"
-    # After a closing mark comes an opening mark or the end, so that blocks are what lies between closing marks.
+    # After a closing mark comes an opening mark or the end, so blocks are what lies between closing marks.
     body = F.substring("formatted", len("<s>") + 1, 2_147_483_647)
-    closing = rf"{not_text} (?=\[/INST\]|</s>|\[/SYS\]|\[/ROLE\])"
     marks = rf" {not_text}(?:\[/INST\]|</s>|\[/SYS\]|\[/ROLE\])"
-    del closing
     blocks = F.filter(F.split(body, marks, -1), lambda b: F.length(b) > 0)
 
     def turns(b: Column) -> Column:
