@@ -26,6 +26,7 @@ from .shared import SharedFile, filesystem, new_path, table, width
 from .tokens import encoder
 
 DOCS_A_SHARD = 4096
+MOST_SHARDS = 20_000  # beyond this shards grow: a shard is written as a stream, whatever its size
 SEQUENCES_A_BATCH = 512
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long, n_sequences long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -84,7 +85,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_c
     folder = folder or new_path(spark, "token-files")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.count()
-    parts = max(width(spark), -(-rows // DOCS_A_SHARD))
+    parts = max(width(spark), min(MOST_SHARDS, -(-rows // DOCS_A_SHARD)))
     # One number a shard, whatever the table's size.
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
     bounds = np.array(cuts or [], np.int64)
