@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .shared import SharedFile, filesystem, new_path, table, width
+from .shared import SharedFile, filesystem, new_path, table
 
 KEYS_A_SHARD = 200_000
 _NO_ID = np.iinfo(np.int64).min
