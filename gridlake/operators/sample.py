@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..cells import Cells
 
+BLOCKS = 65_536  # of cells, for draws with replacement; their sums are as many rows
+
 
 def sample(cells: Cells, n: int, seed: int, weights: Column | None = None, skipmissing: bool = False, replace: bool = True, geometry: bool = True, index: bool = False, layers: Sequence[str] | None = None) -> DataFrame:
     """n random cells as rows like extract's. weights is an expression over index columns and layers.
@@ -25,16 +27,17 @@ def sample(cells: Cells, n: int, seed: int, weights: Column | None = None, skipm
     if not replace:
         got = df.withColumn("_key", F.ln(uniform(0)) / F.col("_w")).orderBy(F.desc("_key"), *cells.columns).limit(n)
     else:
-        blocks = 1024
+        blocks = BLOCKS
         df = df.withColumn("_b", F.pmod(F.xxhash64(*cells.columns), F.lit(blocks)).cast("int"))
-        sums = df.groupBy("_b").agg(F.sum("_w").alias("_s"))  # at most 1024 rows
+        sums = df.groupBy("_b").agg(F.sum("_w").alias("_s"))  # at most BLOCKS rows
         upto = F.sum("_s").over(Window.orderBy("_b"))
         starts = sums.select("_b", (upto - F.col("_s")).alias("_from"), "_s")
         total = sums.agg(F.sum("_s").alias("_t"))
         draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select("id", ((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) + 0.5) / (1 << 53) * F.col("_t")).alias("_u"))
         placed = draws.join(F.broadcast(starts), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_s")))
         inside = Window.partitionBy("_b").orderBy(*cells.columns)
-        ranged = df.withColumn("_hi", F.sum("_w").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_w"))
+        hit = placed.select("_b").distinct()  # only blocks that were drawn are ordered
+        ranged = df.join(F.broadcast(hit), "_b", "left_semi").withColumn("_hi", F.sum("_w").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_w"))
         got = placed.join(ranged, "_b").filter((F.col("_u") - F.col("_from") >= F.col("_lo")) & (F.col("_u") - F.col("_from") < F.col("_hi")))
     out = []
     if geometry:
