@@ -8,7 +8,7 @@ Exact, without comparing all pairs of anything that grows:
    it has no link and goes no further. For the rest, shingles are ordered from rare to common, and two linked sets share
    one of their first n - ceil(3n/4) + 1. Shingles that are very common already within one batch of texts never meet in
    one task: they are marked as common, and their texts are spread.
-3. Where a rare first shingle meets several sets, hashed bitmaps (about two bits a shingle, in bands of size by powers
+3. Where a rare first shingle meets several sets, hashed bitmaps (one to two bits a shingle, in bands of size by powers
    of two; a wider one folds to a narrower) bound each overlap from above. Sets that can be linked are joined in a
    forest, so a task writes fewer edges than it has sets. Common shingles give one edge to a node of their own.
    Components of these edges are families: every link lies within one.
@@ -43,6 +43,8 @@ COMMON = 2048  # sets of the corpus
 TILE_SETS, TILE_BYTES = 1024, 16_000_000
 BLOCK_SETS = 512
 ENTRIES_A_TASK = 1_500_000
+BUCKETS = 64  # at least, of rare shingles: a set meets others in about as many tasks at any size
+FILTER_BITS = 1 << 26
 _EVEN = np.uint64((1 << 64) - 2)
 _ODD = np.uint64(1)
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -194,8 +196,8 @@ def _candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def bitmap_bits(n: int) -> int:
-    """A band's bitmap width: the power of two from 2n on, 64 to 2^17."""
-    return min(1 << 17, max(64, 1 << (2 * n - 1).bit_length()))
+    """A band's bitmap width: the power of two from n on, 64 to 2^17."""
+    return min(1 << 17, max(64, 1 << (n - 1).bit_length()))
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
@@ -204,20 +206,52 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _filter_words(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter over ids: FILTER_BITS bits, however many ids; two bits for each."""
+    at = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col("rep")), F.lit(FILTER_BITS)) for k in (1, 2))))
+    bits = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    got = bits.toArrow()  # at most FILTER_BITS / 64 rows
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return words
+
+
 def _arrays(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates with their bitmap and sorted array."""
-    chosen = docs.select(F.col("doc_id").alias("rep"), "text").filter(F.col("rep").isNotNull()).join(candidates, "rep")
+    """Candidates with their bitmap and sorted array.
+
+    Texts join the candidates by id. A Bloom filter of fixed size keeps most other texts out of that shuffle; when it is
+    full, more of them pass it and the join drops them.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(_filter_words(candidates))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = words.value
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for k in ("a1", "a2"):
+                at = b.column(k).to_numpy()
+                keep &= (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield b.select(["rep", "text"]).filter(pa.array(keep))
+
+    marked = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text", *(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"a{k}") for k in (1, 2)))
+    chosen = marked.mapInArrow(sift, "rep long, text string").join(candidates, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part, values in texts.text_slices(batch, "text", 8_000_000):
                 s = Sets(values)
                 each = [s.hashes[a:b] for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
-                same = pa.array(s.name.view(np.int64) == part.column("set").to_numpy())  # rows that share an id may have other texts
-                out = pa.record_batch([part.column("set"), part.column("rep"), part.column("n"), part.column("rare"), part.column("common"), pa.array([_bitmap(x) for x in each], pa.binary()), pa.array([_blob(x) for x in each], pa.binary())], names=["set", "rep", "n", "rare", "common", "bitmap", "items"])
-                yield out.filter(same)
+                # Rows that share an id may have other texts, or the same one again.
+                want = []
+                for name, said in zip(s.name.view(np.int64).tolist(), part.column("set").to_pylist(), strict=True):
+                    want.append(name == said and name not in seen)
+                    if want[-1]:
+                        seen.add(name)
+                out = pa.record_batch([part.column("set"), part.column("n"), part.column("rare"), part.column("common"), pa.array([_bitmap(x) for x in each], pa.binary()), pa.array([_blob(x) for x in each], pa.binary())], names=["set", "n", "rare", "common", "bitmap", "items"])
+                yield out.filter(pa.array(want))
 
-    return chosen.mapInArrow(run, "set long, rep long, n long, rare binary, common binary, bitmap binary, items binary")
+    return chosen.mapInArrow(run, "set long, n long, rare binary, common binary, bitmap binary, items binary")
 
 
 class Forest:
@@ -327,8 +361,8 @@ def _edges(arrays: DataFrame, parts: int) -> DataFrame:
     return met.unionByName(arrays.select("set", "common").filter(F.length("common") > 0).mapInArrow(common, "a long, b long"))
 
 
-def _groups(rows: DataFrame, keys: list[str], of: str = "group") -> Iterator:
-    """Tables of rows that share the keys, one after another. rows come sorted by the keys."""
+def _groups(keys: list[str]) -> Iterator:
+    """A function from batches, sorted by the keys, to (key, table of its rows), one after another."""
 
     def iterate(batches: Iterator[pa.RecordBatch]):
         held: list[pa.Table] = []
@@ -384,16 +418,16 @@ def _by_size(t: pa.Table) -> pa.Table:
     return t.take(pa.array(np.lexsort((t.column("set").to_numpy(), t.column("n").to_numpy()))))
 
 
-def _tiles(rows: DataFrame, key: str, spark) -> DataFrame:
-    """rows (key, set, n, bitmap, items) with a tile number, so that tiles of a key are bounded."""
-    sizes = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum(F.length("items") + F.length("bitmap")) / TILE_BYTES)).cast("int").alias("tiles"))
-    return rows.join(sizes, key).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+def _tiles(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, set, n) with their tile and the key's number of tiles, so that tiles are bounded."""
+    sizes = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"), F.count("*").alias("_n"))
+    return rows.join(sizes.filter("_n > 1").drop("_n"), key).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
 
 
 def _link_tiles(rows: DataFrame, key: str) -> DataFrame:
     """Links inside each tile: the tile's forest, as edges, with a self-edge for the least set of each group."""
     parts = width(rows.sparkSession)
-    iterate = _groups(rows, [key, "tile"])
+    iterate = _groups([key, "tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (family, tile), t in iterate(batches):
@@ -408,32 +442,36 @@ def _link_tiles(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(parts, key, "tile").sortWithinPartitions(key, "tile").mapInArrow(run, f"{key} long, set long, local long")
 
 
-def _links(members: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are the groups of linked sets. members: family, set, n, bitmap, items."""
-    tiled = table(_tiles(members, "family", members.sparkSession), "tiles")
-    local = table(_link_tiles(tiled, "family"), "local-groups")
+def _links(members: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are the groups of linked sets. members: family, set, n; arrays: set, n, bitmap,
+    items. Arrays are joined by set, which no two share, after tiles are known."""
+    tiled = table(_tiles(members, "family").drop("n"), "tiles")
+    local = table(_link_tiles(tiled.join(arrays, "set"), "family"), "local-groups")
     edges = local.filter(F.col("set") != F.col("local")).select(F.col("set").alias("a"), F.col("local").alias("b"))
-    wide = tiled.filter("tiles > 1")
-    if wide.limit(1).count() == 0:
+    if tiled.filter("tiles > 1").limit(1).count() == 0:
         return edges
+    wide = tiled.filter("tiles > 1")
     # Leaders of the tiles' groups against each other, tile by tile.
-    here = local.join(wide.select("family").distinct(), "family")
-    leaders = wide.drop("tiles", "tile").join(here.filter("set = local").select("set"), "set")
-    led = table(_link_tiles(_tiles(leaders, "family", members.sparkSession), "family"), "leader-groups")
-    groups = table(here.join(led.select(F.col("set").alias("local"), F.col("local").alias("group")), "local").select("family", "set", "group"), "family-groups")
+    here = local.join(wide.select("family", "set"), ["family", "set"])
+    leaders = _tiles(here.filter("set = local").join(members.select("set", "n"), "set").select("family", "set", "n"), "family").drop("n")
+    led = table(_link_tiles(leaders.join(arrays, "set"), "family"), "leader-groups")
+    leader = led.select(F.col("set").alias("local"), F.col("local").alias("led"))
+    groups = table(here.join(leader, "local", "left").select("family", "set", F.coalesce("led", "local").alias("group")), "family-groups")
     edges = edges.unionByName(led.filter(F.col("set") != F.col("local")).select(F.col("set").alias("a"), F.col("local").alias("b")))
     # All that is outside the largest group, in blocks, against all of the family.
     size = groups.groupBy("family", "group").agg(F.count("*").alias("size"))
     largest = size.groupBy("family").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
     marked = wide.join(groups, ["family", "set"]).join(largest, "family").withColumn("outside", F.col("group") != F.col("largest")).drop("largest")
     outside = marked.filter("outside")
+    if outside.limit(1).count() == 0:
+        return edges
     blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int")
     asked = outside.join(blocks, "family").withColumn("block", block).drop("blocks", "tile").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("outside", F.lit(True))
     told = marked.join(blocks, "family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("outside", F.lit(False))
-    order = ["family", "tile", "block", "set", "n", "group", "outside", "bitmap", "items"]
-    both = asked.select(order).unionByName(told.select(order))
-    iterate = _groups(both, ["family", "tile", "block"])
+    order = ["family", "tile", "block", "set", "group", "outside"]
+    both = asked.select(order).unionByName(told.select(order)).join(arrays, "set")
+    iterate = _groups(["family", "tile", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in iterate(batches):
@@ -457,10 +495,10 @@ def groups(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(width(spark), -(-int(0.35 * total) // ENTRIES_A_TASK))
     candidates = _candidates(_shared(_entries(docs, parts), parts), classes)
-    arrays = table(_arrays(docs, table(candidates, "candidates")).dropDuplicates(["set"]), "arrays")
-    family = components(_edges(arrays, parts))
-    members = arrays.select("set", "n", "bitmap", "items").join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
-    joined = components(_links(members))
+    arrays = table(_arrays(docs, table(candidates, "candidates")), "arrays")
+    family = components(_edges(arrays, max(parts, BUCKETS)))
+    members = arrays.select("set", "n").join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set").distinct()
+    joined = components(_links(members, arrays.select("set", "n", "bitmap", "items")))
     known = sets.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
     labelled = known.join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
