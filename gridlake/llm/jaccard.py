@@ -43,7 +43,7 @@ COMMON = 2048  # sets of the corpus
 TILE_SETS, TILE_BYTES = 1024, 16_000_000
 BLOCK_SETS = 512
 ENTRIES_A_TASK = 1_500_000
-BUCKETS = 64  # at least, of rare shingles: a set meets others in about as many tasks at any size
+BUCKETS = 64  # at least: a set's shingles then fall into about as many tasks at any size
 FILTER_BITS = 1 << 26
 _EVEN = np.uint64((1 << 64) - 2)
 _ODD = np.uint64(1)
@@ -493,10 +493,10 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = table(set_table(docs), "sets")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("m").alias("m"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(width(spark), -(-int(0.35 * total) // ENTRIES_A_TASK))
+    parts = max(width(spark), BUCKETS, -(-int(0.35 * total) // ENTRIES_A_TASK))
     candidates = _candidates(_shared(_entries(docs, parts), parts), classes)
     arrays = table(_arrays(docs, table(candidates, "candidates")), "arrays")
-    family = components(_edges(arrays, max(parts, BUCKETS)))
+    family = components(_edges(arrays, parts))
     members = arrays.select("set", "n").join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set").distinct()
     joined = components(_links(members, arrays.select("set", "n", "bitmap", "items")))
     known = sets.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
