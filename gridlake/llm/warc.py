@@ -88,6 +88,13 @@ def parse(data: bytes) -> dict:
     }
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that few payloads are Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def write_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write all pages to archives. Returns their captures (a table)."""
     spark = pages.sparkSession
@@ -98,14 +105,15 @@ def write_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = Non
     revisits = digests.join(first, "digest").filter(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [zlib.compress(x, 1) for x in b.column(2).to_pylist()]
-            digest = [hashlib.sha1(x).digest() for x in b.column(2).to_pylist()]
+        for b in _few_rows(batches):
+            payloads = b.column(2).to_pylist()
+            packed = [zlib.compress(x, 1) for x in payloads]
+            digest = [hashlib.sha1(x).digest() for x in payloads]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], names=["page_id", "url", "packed", "digest"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, name, at = None, "", 0
-        for batch in batches:
+        for batch in _few_rows(batches):
             out = []
             for row in batch.to_pylist():
                 if file is None or at >= FILE_BYTES:
