@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -309,6 +311,34 @@ def test_decontamination(spark, odd, monkeypatch):
     assert decontam.overlaps(texts(spark, rows), frame.limit(0)).collect() == [] and decontam.clean(texts(spark, rows).limit(0), frame).collect() == []
 
 
+@pytest.mark.parametrize("n", range(8, 25))
+def test_masks_hit_every_placement_of_substitutions(n):
+    most = n - -(-3 * n // 4)
+    equal = np.array([(1 << n) - 1 - sum(1 << k for k in gone) for gone in itertools.combinations(range(n), most)])
+    hit = np.zeros(len(equal), bool)
+    for places in decontam._masks(n):
+        for at in range(n - int(places[-1])):
+            seed = sum(1 << int(k + at) for k in places)
+            hit |= equal & seed == seed
+    assert hit.all()
+
+
+def judged(items, docs):
+    """(text, item) of the overlaps of texts that share a batch."""
+    words = lambda rows: decontam.texts.words(pa.array(rows, pa.string()), lower=True, marks=True)
+    block = decontam.Items(list(range(len(items))), [words([x]).hashes for x in items])
+    return [r[:2] for r in decontam._judge(block, words(docs))]
+
+
+def test_periodic_substitutions_are_found():
+    for n in (8, 12, 20, 24, 60, 500):
+        item = [f"w{k}" for k in range(n)]
+        for period, phase in [(p, f) for p in (4, 5) for f in range(p)]:
+            near = [f"x{k}" if k % period == phase else w for k, w in enumerate(item)]
+            equal = sum(a == b for a, b in zip(item, near, strict=True))
+            assert judged([" ".join(item)], ["before it", " ".join(near), "after it"]) == ([(1, 0)] if equal >= 0.75 * n or n > 24 else [])
+
+
 def test_html_unclosed_parts(spark):
     pages = ["<head><title>T</title><style>x{}</style><body><p>a", "<title>T</title><p>b</p>", "<nav><ul><li>m<article><p>c</article>", "<article><p>d <b>e<p>f &am", "<article><p>g<b", "<article><div class='header'><h2 class=x>H</h2>by</div><p>i</p></article>"]
     df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
