@@ -4,9 +4,9 @@ A mask of four words ignores the places between them, so a seed survives substit
 hit every way to have 75 % of 8 to 24 words equal (the tests try all of them), so no item that the check below accepts is
 missed. Every benchmark item's seeds (items below 6 words have one of all their words) go into sorted arrays with item
 and place; documents are hashed the same way and searched in those arrays, which is the join. The arrays are sent to the executors only up to
-a stated size; a larger benchmark is taken in blocks of items, each a pass over the documents. Around each hit the item
-is laid over the document on the hit's diagonal and words are compared one by one, so substitutions cost their words
-only.
+a stated size; a larger benchmark is taken in blocks of items, each a pass over the documents. Around each hit, in the
+text that holds it, the words within a window's reach are compared; where enough are equal, the item is laid over the
+whole text on the hit's diagonal and words are compared one by one, so substitutions cost their words only.
 
 Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case. An item is in a document
 where, in some window of min(its words, 24), at least 75 % of the words agree (all of them for items below 8 words).
@@ -29,9 +29,11 @@ from . import texts
 # Fixed masks. Each begins and ends with a place that counts; together they hit all that WINDOW and SHARE accept.
 MASKS = ("10111", "111001", "1001011")
 SHORT = 6  # an item below it is one contiguous seed
+WHOLE = 8  # an item below it must be there word for word
 WINDOW = 24
 SHARE = 0.75
 SEEDS_AT_ONCE = 1_000_000  # 24 bytes each
+HITS_AT_ONCE = 20_000  # each is compared on some 50 words
 OVERLAP = "doc_id long, item_id long, n_equal int, n_words int, first_word int"
 
 
@@ -57,43 +59,63 @@ class Items:
     """A block of benchmark items and the sorted seeds of all of them."""
 
     def __init__(self, ids: list[int], hashes: list[np.ndarray]):
-        self.ids, self.hashes = ids, hashes
-        sizes = {len(h) for h in hashes}
+        self.ids = ids
+        self.size = np.array([len(h) for h in hashes], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.concatenate(hashes)
+        self.width = np.minimum(self.size, WINDOW)
+        self.need = np.where(self.size < WHOLE, self.width, np.ceil(self.width * SHARE)).astype(np.int64)
+        sizes = set(self.size.tolist())
         self.masks = [*(_places(MASKS) if max(sizes) >= SHORT else []), *(np.arange(n) for n in sorted(sizes) if n < SHORT)]
-        rows = [(m, np.full(len(s), k), np.arange(len(s))) for k, h in enumerate(hashes) for mask in _masks(len(h)) for s in [_seeds(h, mask)] for m in [s]]
+        rows = [(s, np.full(len(s), k), np.arange(len(s))) for k, h in enumerate(hashes) for mask in _masks(len(h)) for s in [_seeds(h, mask)]]
         seed = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
         order = np.argsort(seed, kind="stable")
         self.seed = seed[order]
         self.item = np.concatenate([r[1] for r in rows])[order].astype(np.int32) if rows else np.zeros(0, np.int32)
         self.place = np.concatenate([r[2] for r in rows])[order].astype(np.int32) if rows else np.zeros(0, np.int32)
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and diagonals (document place less item place) of all seed hits in a run of word hashes."""
-        items, diagonals = [], []
+    def hits(self, w: texts.Words) -> np.ndarray:
+        """Text, item and diagonal (document place less item place) of the seed hits that may be matches, each once."""
+        found = [np.zeros((0, 3), np.int64)]
         for mask in self.masks:
-            seed = _seeds(hashes, mask)
+            seed = _seeds(w.hashes, mask)
             low = np.searchsorted(self.seed, seed)
             at = np.flatnonzero(self.seed[np.minimum(low, len(self.seed) - 1)] == seed) if len(self.seed) else np.zeros(0, int)
-            if len(at):
-                low = low[at]
-                n = np.searchsorted(self.seed, seed[at], "right") - low
-                k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                items.append(self.item[k])
-                diagonals.append(np.repeat(at, n) - self.place[k])
-        return (np.concatenate(items), np.concatenate(diagonals)) if items else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            text = np.searchsorted(w.first, at, "right") - 1
+            own = at + mask[-1] < w.first[text + 1]  # a seed over two texts is none
+            at, text = at[own], text[own]
+            low = low[at]
+            n = np.searchsorted(self.seed, seed[at], "right") - low
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1):
+                many = n[part]
+                k = np.repeat(low[part], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                where, of = np.repeat(at[part], many), np.repeat(text[part], many)
+                item, place = self.item[k], self.place[k]
+                near = self._near(item, place, w, where, of)
+                found.append(np.unique(np.stack((of, item, where - place), axis=1)[near], axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _near(self, item: np.ndarray, place: np.ndarray, w: texts.Words, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether the windows that can hold a hit have as many equal words together as one of them needs."""
+        equal = np.zeros(len(item), np.int64)
+        for k in range(1 - WINDOW, WINDOW):
+            p, d = place + k, at + k
+            inside = (p >= 0) & (p < self.size[item]) & (d >= w.first[text]) & (d < w.first[text + 1])
+            equal[inside] += self.words[(self.begin[item] + p)[inside]] == w.hashes[d[inside]]
+        return equal >= self.need[item]
 
     def overlap(self, item: int, hashes: np.ndarray, diagonal: int) -> tuple[int, int] | None:
         """Equal words in the best window on the diagonal, and the window's words; None where they are too few."""
-        own = self.hashes[item]
+        own = self.words[self.begin[item] : self.begin[item] + self.size[item]]
         low, high = max(0, -diagonal), min(len(own), len(hashes) - diagonal)
-        width = min(len(own), WINDOW)
+        width = int(self.width[item])
         if high - low < width * SHARE:
             return None
         equal = np.zeros(len(own) + 1, np.int64)
         equal[low + 1 : high + 1] = own[low:high] == hashes[low + diagonal : high + diagonal]
         sums = np.cumsum(equal)
         best = int((sums[width:] - sums[: len(sums) - width]).max())
-        return (best, width) if best >= (width * SHARE if len(own) >= 8 else width) else None
+        return (best, width) if best >= self.need[item] else None
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -117,18 +139,8 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def _judge(items: Items, w: texts.Words) -> list[tuple[int, int, int, int, int]]:
     """(text, item, equal, words, first word) of each overlap in a batch."""
-    item, diagonal = items.hits(w.hashes)
-    if not len(item):
-        return []
-    begin = np.maximum(diagonal, 0)
-    # A diagonal may begin in the text before the hit; both texts that it touches are tried.
-    tries = set()
-    size = np.array([len(h) for h in items.hashes])[item]
-    for at in (begin, np.minimum(begin + size // 2, len(w.hashes) - 1), np.minimum(begin + size - 1, len(w.hashes) - 1)):
-        text = np.searchsorted(w.first, at, "right") - 1
-        tries |= set(zip(text.tolist(), item.tolist(), diagonal.tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for t, i, d in tries:
+    for t, i, d in items.hits(w).tolist():
         a, b = int(w.first[t]), int(w.first[t + 1])
         found = items.overlap(i, w.hashes[a:b], d - a)
         if found and found > best.get((t, i), (0, 0, 0))[:2]:

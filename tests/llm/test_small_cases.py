@@ -339,6 +339,16 @@ def test_periodic_substitutions_are_found():
             assert judged([" ".join(item)], ["before it", " ".join(near), "after it"]) == ([(1, 0)] if equal >= 0.75 * n or n > 24 else [])
 
 
+def test_an_inner_excerpt_is_found_in_its_own_text():
+    for n, length, inner in ((120, 55, 24), (200, 80, 40), (400, 150, 100)):
+        item = [f"w{k}" for k in range(n)]
+        for begin in range(0, n - inner + 1, 7):
+            for before in range(0, length - inner + 1, 6):
+                doc = [*(f"x{k}" for k in range(before)), *item[begin : begin + inner], *(f"y{k}" for k in range(length - inner - before))]
+                assert judged([" ".join(item)], ["one text", " ".join(doc), "", " ".join(f"z{k}" for k in range(300))]) == [(1, 0)]
+                assert judged([" ".join(item)], [" ".join(doc)]) == [(0, 0)]
+
+
 def test_html_unclosed_parts(spark):
     pages = ["<head><title>T</title><style>x{}</style><body><p>a", "<title>T</title><p>b</p>", "<nav><ul><li>m<article><p>c</article>", "<article><p>d <b>e<p>f &am", "<article><p>g<b", "<article><div class='header'><h2 class=x>H</h2>by</div><p>i</p></article>"]
     df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
