@@ -10,7 +10,8 @@ about the alphabet's middle, and lag-one serial correlation. Fisher's method joi
 uniform joint p-values, ordinary ones heap near zero; how far depends on length. So in each stratum of encoding and
 length the share of random tokens is estimated from the upper half of the p-values, and the cut is the lowest p at which
 the estimated share of ordinary tokens among those above it is at most 5 %. The strata and p-values (in 100 steps) are
-counted over the whole table; the counts are a fixed number of rows.
+counted over the whole table, each different token once (copies are no independent draws), and hold for every occurrence;
+the counts are a fixed number of rows.
 
 Defined results: a null or empty text has no spans; each row is scanned by itself, so repeated rows and null ids are as
 any other; further columns are ignored, whatever their names; an empty table gives no rows.
@@ -127,7 +128,8 @@ def _scan(docs: DataFrame) -> DataFrame:
 def cuts(docs: DataFrame) -> dict[str, int]:
     """For each stratum that has random tokens, the lowest step of p-values that is taken."""
     tokens = _scan(docs).select(F.explode("candidates.value").alias("token"))
-    rows = tokens.groupBy(_stratum(F.col("token")).alias("stratum"), _step(F.col("token")).alias("step")).agg(F.count("*").alias("n")).collect()  # at most 3 * 6 * STEPS rows
+    different = tokens.select(_stratum(F.col("token")).alias("stratum"), _step(F.col("token")).alias("step"), F.xxhash64("token").alias("token")).distinct()
+    rows = different.groupBy("stratum", "step").agg(F.count("*").alias("n")).collect()  # at most 3 * 6 * STEPS rows
     found: dict[str, int] = {}
     for stratum in {r["stratum"] for r in rows}:
         n = [0] * STEPS

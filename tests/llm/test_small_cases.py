@@ -200,6 +200,21 @@ def test_secrets(spark, odd):
     assert secrets.find_secrets(texts(spark, odd).limit(0)).collect() == []
 
 
+def test_copies_do_not_move_the_cuts(spark):
+    rnd = random.Random(10)
+    draw = lambda: "a1" + "".join(rnd.choice(secrets.ALPHABETS["base64"]) for _ in range(42))
+    tokens = [draw() for _ in range(200)]
+    p = {r.token: r.p for r in spark.createDataFrame([(t,) for t in tokens], "token string").withColumn("p", secrets._step(F.col("token"))).collect()}
+    rows = list(enumerate(tokens))
+    alone = secrets.cuts(texts(spark, rows))
+    assert set(alone.values()) == {0}
+    copied = min(tokens, key=lambda t: abs(p[t] - 40))
+    copies = [(1000 + k, copied) for k in range(300)]
+    assert secrets.cuts(texts(spark, rows + copies)) == alone
+    got = secrets.digests(secrets.find_secrets(texts(spark, rows + copies))).collect()
+    assert all("random" in r.spans for r in got)
+
+
 def test_chat_round_trip(spark):
     ctrl = list(chat.CONTROLS)
     rnd = random.Random(7)
