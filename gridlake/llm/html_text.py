@@ -2,13 +2,15 @@
 
 A page is parsed leniently into elements. Elements that are never main text go at once: scripts, styles, navigation,
 footers, forms and the like, and elements whose class, id or role names such a part. What is left gives the subtrees; a
-subtree's hash covers its tags and text. Hashes are counted per host, each page once; a subtree that recurs on many
-pages of its host (at least MANY, and a share SHARE of them) is template and goes too. Outside the article container all
+subtree's hash covers its tags and text. Hashes are counted per host, each different page once; a subtree that recurs on
+many pages of its host (at least MANY, and a share SHARE of them) is template and goes too. For boxes (elements such as
+div and section, by tag) BOX_SHARE is enough, as adverts rotate and a menu may be a section's own; a page counts towards
+it only where the box has at most half of the page's text, so versions of one article do not make it template. Outside the article container all
 subtrees are counted; inside it only boxes and marked-up elements, never plain paragraphs, headings or quotes: articles
 may share passages.
 
 Counts are pre-aggregated and keyed by host and hash, so a host with a third of all pages is spread over tasks. A host
-has few template subtrees (each is on a share of its pages, so there are at most an average page's subtrees / SHARE);
+has few template subtrees (each is on a share of its pages, so there are at most an average page's subtrees / BOX_SHARE);
 they reach its pages by a join whose host key is salted.
 
 Text: the article (or main, or the body where neither is there) cut into blocks at block-level tags; character
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 MANY = 5
 SHARE = 0.5
+BOX_SHARE = 0.01
 SALTS = 16
 OUT = "page_id long, url string, text string, n_chars long"
 
@@ -61,12 +64,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "marked", "part", "children", "digest", "inside")
+    __slots__ = ("tag", "marked", "part", "children", "digest", "inside", "size")
 
     def __init__(self, tag: str, marked: bool = False, part: str = ""):
         self.tag, self.marked, self.part, self.inside = tag, marked, part, False
         self.children: list[Element | str] = []
-        self.digest = 0
+        self.digest = self.size = 0
 
 
 def _names_part(word: str, tag: str) -> bool:
@@ -223,20 +226,22 @@ def _candidate(e: Element) -> bool:
     return not e.inside or (e.tag not in KEPT and (e.marked or e.tag not in PLAIN))
 
 
-def _digest(e: Element, out: dict[int, None]) -> bytes:
-    """Hash every subtree; note those that may be template."""
+def _digest(e: Element, out: dict[int, int | None]) -> bytes:
+    """Hash every subtree and count its characters; note those that may be template, and of boxes the characters."""
     h = blake2b(e.tag.encode(), digest_size=8)
     for c in e.children:
         if isinstance(c, str):
             text = _SPACE.sub(" ", c).strip()
             if text:
                 h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+                e.size += len(text)
         else:
             h.update(b"\1" + _digest(c, out))
+            e.size += c.size
     d = h.digest()
     e.digest = int.from_bytes(d, "little", signed=True)
     if e.tag not in ("#main", "article", "main", "body", "html", "br", "hr", "img") and e.children and _candidate(e):
-        out[e.digest] = None
+        out[e.digest] = None if e.tag in PLAIN or e.tag in KEPT else e.size
     return d
 
 
@@ -296,22 +301,25 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, found, whole = [], [], []
+            hosts, found, whole, small = [], [], [], []
             for url, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own: dict[int, None] = {}
+                own: dict[int, int | None] = {}
                 top = pruned(source)
                 _digest(top, own)
                 hosts += [host(url)] * (len(own) + 1)
                 found += [None, *own]  # None counts the page
                 whole += [top.digest] * (len(own) + 1)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(whole, pa.int64())], names=["host", "subtree", "page"])
+                small += [False, *(n is not None and 2 * n <= top.size for n in own.values())]
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(whole, pa.int64()), pa.array(small, pa.bool_())], names=["host", "subtree", "page", "small"])
 
-    # A subtree that only copies of one page have is not template.
-    counted = source.mapInArrow(hashes, "host string, subtree long, page long").groupBy("host", "subtree").agg(F.count("*").alias("n"), F.min("page").alias("p0"), F.max("page").alias("p1"))
-    many = counted.filter((F.col("n") >= MANY) & (F.col("subtree").isNull() | (F.col("p0") != F.col("p1"))))
+    # Copies of a page count once, so a subtree that only copies of one page have is not template.
+    once = source.mapInArrow(hashes, "host string, subtree long, page long, small boolean").distinct()
+    counted = once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("small").alias("small"))
+    many = counted.filter(F.col("n") >= MANY)
     # A host's page count is the row with no subtree; hosts with fewer than MANY pages have no template.
-    per_host = many.groupBy("host").agg(F.max(F.when(F.col("subtree").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "n"))).alias("subtrees"))
-    template = per_host.select("host", F.transform(F.filter("subtrees", lambda s: s["n"] >= SHARE * F.col("pages")), lambda s: s["subtree"]).alias("template")).filter(F.size("template") > 0)
+    per_host = many.groupBy("host").agg(F.max(F.when(F.col("subtree").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "n", "small"))).alias("subtrees"))
+    often = lambda s: (s["n"] >= SHARE * F.col("pages")) | ((s["small"] >= MANY) & (s["small"] >= BOX_SHARE * F.col("pages")))
+    template = per_host.select("host", F.transform(F.filter("subtrees", often), lambda s: s["subtree"]).alias("template")).filter(F.size("template") > 0)
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +328,7 @@ def extract(pages: DataFrame) -> DataFrame:
             packed = []
             for s in b.column(2).to_pylist():
                 top = pruned(s)
-                own: dict[int, None] = {}
+                own: dict[int, int | None] = {}
                 _digest(top, own)
                 # Without candidates the text is final already; else the tree goes along.
                 packed.append(zlib.compress(json.dumps(_pack(top) if own else "\n\n".join(blocks(top)), ensure_ascii=False).encode("utf-8", "surrogatepass"), 3))

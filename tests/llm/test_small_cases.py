@@ -266,6 +266,23 @@ def test_html_passages_that_articles_share_stay(spark):
     assert sorted(got) == sorted(f"Head\n\nShared passage.\n\nown {k}" for k in range(9))
 
 
+def test_html_boxes_that_recur_on_few_pages_go(spark):
+    shared = "Passage that many articles of this host quote."
+    rows, want = [], {}
+    for k in range(200):
+        own = f"Own words of article number {k}, which are more than any box of it has."
+        box = f"<div class='x{k % 3}'>Offer {k % 20}</div>" + (f"<section><p>Desk {k % 40}</p></section>" if k % 2 else "")  # on 5 % and 2.5 % of the pages
+        article = f"<h1>Head</h1><p>{shared}</p>{box}<p>{own}</p>"
+        rows.append((k, f"http://a.example/{k}", f"<article>{article}</article>" if k % 4 else f"<body>{article}"))
+        want[k] = f"Head\n\n{shared}\n\n{own}" if k % 4 else None
+    body = "The same long text in several versions. " * 5
+    rows += [(300 + k, "http://a.example/v", f"<article><h1>Version {k}</h1><div>{body}</div></article>") for k in range(8)]
+    rows += [(400 + k, "http://a.example/c", "<article><h1>Copy</h1><p>text of the copied page</p><div>figure</div></article>") for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == t for k, t in want.items() if t) and not any("Offer" in t or "Desk" in t for t in got.values())
+    assert all(body.strip() in got[300 + k] and "figure" in got[400 + k] for k in range(8))
+
+
 def test_warc(spark):
     rows = [(3, "http://B.example.org:80/x?q=1", "same"), (1, "http://a.example.org/ü\r\nz", "same"), (2, None, None), (4, "http://a.example.org/", ""), (5, "http://a.example.org/", "é" * 50_000), (1, "again", "same"), (None, "n", "same"), (None, "n", "lone")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumn("digest", F.lit("d")).withColumn("offset", F.lit(0))
