@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round joins edges with each node's least neighbour; rounds go on until no edge changes. Nothing comes to the driver
-but two numbers a round. Each round's edges are a table in the shared folder.
+but two numbers a round. Each round's edges are a table in the shared folder, until the next round's is written. A node
+with very many edges is no one task: minima combine before their shuffle, and the join can split a hot node.
 """
 
 from __future__ import annotations
@@ -9,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import apart, spent, table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    joined = both.join(apart(least), "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if new == state or not new[0]:
             break
         state = new
-        edges = table(_star(_star(edges, True), False), "edges")
+        old, edges = edges, table(_star(_star(edges, True), False), "edges")
+        spent(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,18 +8,22 @@ Exact, without comparing all pairs of anything that grows:
    it has no link and goes no further. For the rest, shingles are ordered from rare to common, and two linked sets share
    one of their first n - ceil(3n/4) + 1. Shingles that are very common already within one batch of texts never meet in
    one task: they are marked as common, and their texts are spread.
-3. Where a rare first shingle meets several sets, hashed bitmaps (one to two bits a shingle, in bands of size by powers
-   of two; a wider one folds to a narrower) bound each overlap from above. Sets that can be linked are joined in a
+3. Where a rare first shingle meets several sets, hashed bitmaps (one to two bits a shingle, their widths in bands of
+   size; a wider one folds to a narrower) bound each overlap from above. Sets that can be linked are joined in a
    forest, so a task writes fewer edges than it has sets. Common shingles give one edge to a node of their own.
    Components of these edges are families: every link lies within one.
-4. A family is cut into tiles of bounded size. In a tile, sets by ascending size are compared where sizes and bitmaps
-   allow it and they are not connected yet, by intersecting sorted arrays. In families of several tiles the leaders
-   of the tiles' groups are compared next; then the sets outside the family's largest group are taken in blocks against
-   all of the family, so that no pair of unconnected sets goes unseen.
+4. A family is cut into tiles of bounded size by bands of set size, a factor of 4/3 each, and within a band by hash. In a
+   tile, sets by ascending size are compared where sizes and bitmaps allow it and they are not connected yet, by
+   intersecting sorted arrays. In families of several tiles the leaders of the tiles' groups are compared next; then the
+   sets outside the family's largest group are taken in blocks against the tiles of their own and the two neighbouring
+   bands (others are of sizes that cannot link), so that no pair of unconnected sets goes unseen.
+
+What a task gets and what is shuffled for a set depends on the set, not on the number of tasks. Tables of a step are
+removed once the next one is written.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with nothing; fewer than n words
-are one shingle; rows that share an id or a text are linked; a null id is as any other, its component is the least id
-that is not null, if there is one; further columns are ignored, whatever their names; an empty table gives no rows.
+are one shingle; rows that share a text are linked, rows that share an id only where their texts link; a null id is as
+any other, its component is the least id that is not null, if there is one; further columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import texts
 from .components import components
-from .shared import table, width
+from .shared import apart, spent, table, width
 
 N = 5
 NUM, DEN = 3, 4  # the least similarity
@@ -43,7 +48,7 @@ COMMON = 2048  # sets of the corpus
 TILE_SETS, TILE_BYTES = 1024, 16_000_000
 BLOCK_SETS = 512
 ENTRIES_A_TASK = 1_500_000
-BUCKETS = 64  # at least: a set's shingles then fall into about as many tasks at any size
+DEALT_AT_ONCE = 1_000_000  # entries that a task gathers before it deals them out
 FILTER_BITS = 1 << 26
 _EVEN = np.uint64((1 << 64) - 2)
 _ODD = np.uint64(1)
@@ -95,48 +100,61 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def _entries(docs: DataFrame, parts: int) -> DataFrame:
-    """Counted shingles by task: bucket, sets, how many of each set, shingles, and those that are common in a batch."""
+    """Counted shingles by task: bucket, and for each its set, itself, and whether it is common here; common ones apart."""
+
+    def deal(tokens: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, name = np.concatenate(tokens), np.concatenate(names)
+        distinct, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+        common = count[inverse] >= COMMON_HERE
+        bucket = (np.where(common, texts.mix(name), texts.mix(token)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        token, name, common, bucket = token[order], name[order], common[order], bucket[order]
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        out = [(int(bucket[a]), _blob(name[a:b]), _blob(common[a:b]), _blob(token[a:b]), b"") for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True)]
+        marks = distinct[count >= COMMON_HERE]
+        mark_bucket = (texts.mix(marks) % np.uint64(parts)).astype(np.int64)
+        out += [(int(k), b"", b"", b"", _blob(marks[mark_bucket == k])) for k in np.unique(mark_bucket)]
+        columns = list(zip(*out, strict=True))
+        yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sets", "common", "tokens", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        tokens: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for _, values in texts.text_slices(batch, "text", 8_000_000):
                 s = Sets(values)
                 _, one = np.unique(s.name, return_index=True)
                 fresh = np.zeros(len(s.name), bool)
                 fresh[[k for k in one.tolist() if int(s.name[k]) not in seen]] = True
-                if len(seen) < 200_000:
+                if len(seen) < 200_000:  # a set that comes again beyond these is sent again, and counted once
                     seen.update(s.name[fresh].tolist())
                 n = s.size
                 missing = np.maximum(n - least_overlap(n) + 1 - s.counted, 0)
                 rank = np.arange(len(s.hashes)) - s.first[s.owner]
                 use = fresh[s.owner] & (rank < (s.counted + missing)[s.owner])
-                token, name = s.hashes[use], s.name[s.owner[use]]
-                distinct, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-                common = count[inverse] >= COMMON_HERE
-                bucket = (np.where(common, texts.mix(name), texts.mix(token)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((name, common, bucket))
-                token, name, common, bucket = token[order], name[order], common[order], bucket[order]
-                marks = distinct[count >= COMMON_HERE]
-                mark_bucket = (texts.mix(marks) % np.uint64(parts)).astype(np.int64)
-                out: list[tuple] = []
-                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
-                for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True):
-                    start = np.flatnonzero(np.concatenate(([True], (name[a + 1 : b] != name[a : b - 1]) | (common[a + 1 : b] != common[a : b - 1]))))
-                    per = np.diff([*start, b - a]).astype(np.uint32)
-                    out.append((int(bucket[a]), _blob(name[a:b][start]), _blob(per), _blob(common[a:b][start]), _blob(token[a:b]), b""))
-                out += [(int(k), b"", b"", b"", b"", _blob(marks[mark_bucket == k])) for k in np.unique(mark_bucket)]
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sets", "per", "common", "tokens", "marks"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, sets binary, per binary, common binary, tokens binary, marks binary")
+                tokens.append(s.hashes[use])
+                names.append(s.name[s.owner[use]])
+                held += len(tokens[-1])
+                if held >= DEALT_AT_ONCE:
+                    yield from deal(tokens, names)
+                    tokens, names, held = [], [], 0
+        if held:
+            yield from deal(tokens, names)
+
+    return docs.select("text").mapInArrow(run, "bucket int, sets binary, common binary, tokens binary, marks binary")
 
 
 def _join(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _edges_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, int)
+
+
 def _shared(entries: DataFrame, parts: int) -> DataFrame:
     """Of each set the shingles that others have too, with how many sets have them (COMMON + 1: very many)."""
 
@@ -145,54 +163,53 @@ def _shared(entries: DataFrame, parts: int) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        name, per, common, token, marks = (_join(t.column(k), d) for k, d in (("sets", np.uint64), ("per", np.uint32), ("common", bool), ("tokens", np.uint64), ("marks", np.uint64)))
+        name, common, token, marks = (_join(t.column(k), d) for k, d in (("sets", np.uint64), ("common", bool), ("tokens", np.uint64), ("marks", np.uint64)))
         del got, t
-        name, common = np.repeat(name, per), np.repeat(common, per)
         order = np.lexsort((name, token))
         name, token, common = name[order], token[order], common[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])  # a set from several tasks counts once
         name, token, common = name[keep], token[keep], common[keep]
-        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
-        n = np.diff([*edge, len(token)])
+        n = np.diff([*_edges_of(token), len(token)])
         df = np.repeat(n, n)
         df[common | np.isin(token, marks)] = COMMON + 1
         df = np.minimum(df, COMMON + 1).astype(np.uint32)
         use = df > 1
-        name, token, df = name[use], token[use], df[use]
-        order = np.argsort(name, kind="stable")
-        name, token, df = name[order], token[order], df[order]
-        edge = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, int)
-        for k in range(0, len(edge), 20_000):
-            part = edge[k : k + 20_000]
-            ends = [*edge[k + 1 : k + 20_001]]
-            ends += [len(name)] if len(ends) < len(part) else []
-            yield pa.record_batch([pa.array(name[part].view(np.int64)), pa.array([_blob(token[a:b]) for a, b in zip(part, ends, strict=True)], pa.binary()), pa.array([_blob(df[a:b]) for a, b in zip(part, ends, strict=True)], pa.binary())], names=["set", "tokens", "dfs"])
+        for k in range(0, len(use), 200_000):
+            part = slice(k, k + 200_000)
+            own = use[part]
+            yield pa.record_batch([pa.array(x[part][own]) for x in (name.view(np.int64), token.view(np.int64), df.astype(np.int32))], names=["set", "token", "df"])
+
+    return entries.repartition(parts, "bucket").mapInArrow(run, "set long, token long, df int")
 
-    return entries.repartition(parts, "bucket").mapInArrow(run, "set long, tokens binary, dfs binary")
+
+CANDIDATE = "set long, rep long, n long, rare array<long>, common array<long>"
 
 
 def _candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Sets that can have a link: set, rep, n, their first rare shingles and first common ones."""
-    found = shared.groupBy("set").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts")).join(classes, "set")
+    found = shared.groupBy("set").agg(F.collect_list(F.struct("token", "df")).alias("shared")).join(classes, "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                token = np.frombuffer(b"".join(p["tokens"] for p in r["parts"]), np.uint64)
-                df = np.frombuffer(b"".join(p["dfs"] for p in r["parts"]), np.uint32)
-                prefix = r["n"] - least_overlap(r["n"]) + 1
-                take = prefix - (r["m"] - len(token)) if r["m"] >= prefix else len(token)
+            held = b.column("shared")
+            at = held.offsets.to_numpy()
+            tokens, dfs = (held.values.field(k).to_numpy() for k in (0, 1))
+            for k, (name, rep, n, m) in enumerate(zip(*(b.column(c).to_pylist() for c in ("set", "rep", "n", "m")), strict=True)):
+                token, df = tokens[at[k] : at[k + 1]], dfs[at[k] : at[k + 1]]
+                prefix = n - least_overlap(n) + 1
+                take = prefix - (m - len(token)) if m >= prefix else len(token)
                 if take < 1:
                     continue
                 first = np.lexsort((token, df))[:take]
                 common = df[first] > COMMON
-                out.append((r["set"], r["rep"], r["n"], _blob(token[first[~common]]), _blob(token[first[common]])))
+                out.append((name, rep, n, token[first[~common]], token[first[common]]))
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["set", "rep", "n", "rare", "common"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["set", "rep", "n", "rare", "common"])
 
-    return found.mapInArrow(run, "set long, rep long, n long, rare binary, common binary")
+    return found.mapInArrow(run, CANDIDATE)
 
 
 def bitmap_bits(n: int) -> int:
@@ -206,35 +223,37 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter over ids: FILTER_BITS bits, however many ids; two bits for each."""
-    at = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col("rep")), F.lit(FILTER_BITS)) for k in (1, 2))))
-    bits = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+def _sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ids' keys, before a join drops the rest.
+
+    A Bloom filter of FILTER_BITS bits, however many ids, two bits for each, keeps most other rows out of the join's
+    shuffle; when it is full, more of them pass it.
+    """
+    at = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(key)), F.lit(FILTER_BITS))
+    bits = ids.select(F.explode(F.array(at(1), at(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
     got = bits.toArrow()  # at most FILTER_BITS / 64 rows
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return words
-
-
-def _arrays(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates with their bitmap and sorted array.
-
-    Texts join the candidates by id. A Bloom filter of fixed size keeps most other texts out of that shuffle; when it is
-    full, more of them pass it and the join drops them.
-    """
-    words = docs.sparkSession.sparkContext.broadcast(_filter_words(candidates))
+    sent = rows.sparkSession.sparkContext.broadcast(words)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words.value
+        bits = sent.value
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            for k in ("a1", "a2"):
-                at = b.column(k).to_numpy()
+            for column in b.columns[-2:]:
+                at = column.to_numpy()
                 keep &= (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield b.select(["rep", "text"]).filter(pa.array(keep))
+            yield b.select(range(b.num_columns - 2)).filter(pa.array(keep))
+
+    return rows.select("*", at(1).alias("_at1"), at(2).alias("_at2")).mapInArrow(sift, rows.schema)
+
+
+ARRAY = "set long, n long, rare array<long>, common array<long>, bitmap binary, items binary"
+
 
-    marked = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text", *(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"a{k}") for k in (1, 2)))
-    chosen = marked.mapInArrow(sift, "rep long, text string").join(candidates, "rep")
+def _arrays(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with their bitmap and sorted array. Texts join them by id, after a filter; those of classes that no row
+    with an id is in join them by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -248,10 +267,17 @@ def _arrays(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     want.append(name == said and name not in seen)
                     if want[-1]:
                         seen.add(name)
-                out = pa.record_batch([part.column("set"), part.column("n"), part.column("rare"), part.column("common"), pa.array([_bitmap(x) for x in each], pa.binary()), pa.array([_blob(x) for x in each], pa.binary())], names=["set", "n", "rare", "common", "bitmap", "items"])
+                out = pa.record_batch([*(part.column(k) for k in ("set", "n", "rare", "common")), pa.array([_bitmap(x) for x in each], pa.binary()), pa.array([_blob(x) for x in each], pa.binary())], names=["set", "n", "rare", "common", "bitmap", "items"])
                 yield out.filter(pa.array(want))
 
-    return chosen.mapInArrow(run, "set long, n long, rare binary, common binary, bitmap binary, items binary")
+    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text")
+    made = _sifted(known, candidates.filter(F.col("rep").isNotNull()), "rep").join(candidates, "rep").mapInArrow(run, ARRAY)
+    nameless = candidates.filter(F.col("rep").isNull())
+    if nameless.limit(1).count() == 0:
+        return made
+    lone = docs.filter(F.col("doc_id").isNull()).select("text")
+    by_set = with_set(lone, "set").groupBy("set").agg(F.min("text").alias("text")).join(nameless, "set")
+    return made.unionByName(by_set.mapInArrow(run, ARRAY))
 
 
 class Forest:
@@ -306,59 +332,38 @@ class Bitmaps:
 def _edges(arrays: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) whose components hold all links: between sets whose bitmaps allow a link, and to common shingles."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for name, n, rare, bits in zip(b.column("set").to_pylist(), b.column("n").to_pylist(), b.column("rare").to_pylist(), b.column("bitmap").to_pylist(), strict=True):
-                token = np.frombuffer(rare, np.uint64)
-                bucket = (texts.mix(token) % np.uint64(parts)).astype(np.int64)
-                out += [(int(k), name, n, _blob(token[bucket == k]), bits) for k in np.unique(bucket)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "set", "n", "tokens", "bitmap"])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        order = np.argsort(t.column("n").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        name, n = t.column("set").to_numpy(), t.column("n").to_numpy()
-        held = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
-        maps = Bitmaps(n, t.column("bitmap").to_pylist())
-        token = np.concatenate(held)
-        row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        order = np.lexsort((row, token))
-        token, row = token[order], row[order]
-        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        forest = Forest(len(name))
+        t = t.take(pa.array(np.lexsort((t.column("set").to_numpy(), t.column("n").to_numpy(), t.column("token").to_numpy()))))
+        token, name, n = (t.column(k).to_numpy() for k in ("token", "set", "n"))
+        _, row = np.unique(name, return_inverse=True)
+        bitmaps = t.column("bitmap").to_pylist()
+        forest = Forest(int(row.max()) + 1)
         out: list[tuple[int, int]] = []
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(token)], strict=True):
+        edge = _edges_of(token).tolist()
+        for a, b in zip(edge, [*edge[1:], len(token)], strict=True):
             if b - a < 2:
                 continue
-            rows = row[a:b]
-            roots = forest.roots(rows.tolist())
+            rows = row[a:b].tolist()
+            roots = forest.roots(rows)
             if (roots == roots[0]).all():
                 continue
-            group = Bitmaps(n[rows], [maps.maps[k] for k in rows])
+            group = Bitmaps(n[a:b], bitmaps[a:b])
             for i in range(len(rows) - 1):
                 later = np.arange(i + 1, len(rows))
                 later = later[(roots[i + 1 :] != roots[i]) & (NUM * group.n[i + 1 :] <= DEN * group.n[i])]
                 if len(later) and len(later := group.may_link(i, later)):
                     for j in later.tolist():
-                        if forest.join(int(rows[i]), int(rows[j])):
-                            out.append((int(name[rows[i]]), int(name[rows[j]])))
-                    roots = forest.roots(rows.tolist())
+                        if forest.join(rows[i], rows[j]):
+                            out.append((int(name[a + i]), int(name[a + j])))
+                    roots = forest.roots(rows)
         yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            token = [np.frombuffer(x, np.uint64) for x in b.column("common").to_pylist()]
-            name = np.repeat(b.column("set").to_numpy(), [len(x) for x in token])
-            yield pa.record_batch([pa.array(name), pa.array((np.concatenate([*token, np.zeros(0, np.uint64)]) | _ODD).view(np.int64))], names=["a", "b"])
-
-    met = arrays.select("set", "n", "rare", "bitmap").mapInArrow(deal, "bucket int, set long, n long, tokens binary, bitmap binary").repartition(parts, "bucket").mapInArrow(meet, "a long, b long")
-    return met.unionByName(arrays.select("set", "common").filter(F.length("common") > 0).mapInArrow(common, "a long, b long"))
+    met = arrays.select("set", "n", "bitmap", F.explode("rare").alias("token")).repartition(parts, "token").mapInArrow(meet, "a long, b long")
+    return met.unionByName(arrays.select(F.col("set").alias("a"), F.explode("common").alias("b")).withColumn("b", F.col("b").bitwiseOR(F.lit(1))))
 
 
 def _groups(keys: list[str]) -> Iterator:
@@ -418,60 +423,92 @@ def _by_size(t: pa.Table) -> pa.Table:
     return t.take(pa.array(np.lexsort((t.column("set").to_numpy(), t.column("n").to_numpy()))))
 
 
-def _tiles(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, set, n) with their tile and the key's number of tiles, so that tiles are bounded."""
-    sizes = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"), F.count("*").alias("_n"))
-    return rows.join(sizes.filter("_n > 1").drop("_n"), key).withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows (family, set, n) with their tile: band, part, and whether the family is wide (has several tiles).
+
+    A family that fits has one tile, of all sizes. Others have bands of size, and each band parts by hash.
+    """
+    many = lambda: F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int")
+    sizes = rows.groupBy("family").agg(many().alias("tiles"), F.count("*").alias("members")).filter("members > 1").select("family", (F.col("tiles") > 1).alias("wide"))
+    banded = rows.join(apart(sizes), "family").withColumn("band", F.when(F.col("wide"), F.floor(F.ln("n") / np.log(DEN / NUM)).cast("int")).otherwise(F.lit(-1)))
+    parts = banded.filter("wide").groupBy("family", "band").agg(many().alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(3), "set"), F.coalesce("parts", F.lit(1))).cast("int")
+    return banded.join(apart(parts), ["family", "band"], "left").select("family", "set", "n", "band", part.alias("part"), "wide")
+
+
+TILE = ["family", "band", "part"]
+LOCAL = "family long, set long, local long, n long, wide boolean, bitmap binary, items binary"
 
 
-def _link_tiles(rows: DataFrame, key: str) -> DataFrame:
-    """Links inside each tile: the tile's forest, as edges, with a self-edge for the least set of each group."""
-    parts = width(rows.sparkSession)
-    iterate = _groups([key, "tile"])
+def _link_tiles(rows: DataFrame) -> DataFrame:
+    """Links inside each tile: every set with the least set of its group there. In wide families those leaders keep their
+    bitmap and array, as they are compared again."""
+    iterate = _groups(TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (family, tile), t in iterate(batches):
+        for (family, *_), t in iterate(batches):
             t = _by_size(t)
             name = t.column("set").to_numpy()
             forest = Forest(len(name))
             _compare(t, np.ones(len(name), bool), forest, np.arange(len(name)))
             root = forest.roots(range(len(name)))
-            least = {int(r): int(name[root == r].min()) for r in np.unique(root)}
-            yield pa.record_batch([pa.array(np.full(len(name), family)), pa.array(name), pa.array([least[int(r)] for r in root], pa.int64())], names=[key, "set", "local"])
+            least = np.full(len(name), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, name)
+            local = least[root]
+            again = (name == local) & t.column("wide").to_numpy(zero_copy_only=False)
+            kept = [pa.array([x if a else None for x, a in zip(t.column(k).to_pylist(), again, strict=True)], pa.binary()) for k in ("bitmap", "items")]
+            yield pa.record_batch([pa.array(np.full(len(name), family)), pa.array(name), pa.array(local), t.column("n").combine_chunks(), t.column("wide").combine_chunks(), *kept], names=["family", "set", "local", "n", "wide", "bitmap", "items"])
 
-    return rows.repartition(parts, key, "tile").sortWithinPartitions(key, "tile").mapInArrow(run, f"{key} long, set long, local long")
+    return rows.repartition(width(rows.sparkSession), *TILE).sortWithinPartitions(*TILE).mapInArrow(run, LOCAL)
 
 
 def _links(members: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are the groups of linked sets. members: family, set, n; arrays: set, n, bitmap,
-    items. Arrays are joined by set, which no two share, after tiles are known."""
-    tiled = table(_tiles(members, "family").drop("n"), "tiles")
-    local = table(_link_tiles(tiled.join(arrays, "set"), "family"), "local-groups")
-    edges = local.filter(F.col("set") != F.col("local")).select(F.col("set").alias("a"), F.col("local").alias("b"))
-    if tiled.filter("tiles > 1").limit(1).count() == 0:
+    """Edges (a, b), as a table, whose components are the groups of linked sets. members: family, set, n; arrays: set, n,
+    bitmap, items. Arrays are joined by set, which no two share, after tiles are known."""
+    as_edges = lambda t: t.filter(F.col("set") != F.col("local")).select(F.col("set").alias("a"), F.col("local").alias("b"))
+    tiled = table(_tiles(members), "tiles")
+    local = table(_link_tiles(tiled.drop("n").join(arrays, "set")), "local-groups")
+    if local.filter("wide").limit(1).count() == 0:
+        edges = table(as_edges(local), "links")
+        spent(tiled, local)
         return edges
-    wide = tiled.filter("tiles > 1")
-    # Leaders of the tiles' groups against each other, tile by tile.
-    here = local.join(wide.select("family", "set"), ["family", "set"])
-    leaders = _tiles(here.filter("set = local").join(members.select("set", "n"), "set").select("family", "set", "n"), "family").drop("n")
-    led = table(_link_tiles(leaders.join(arrays, "set"), "family"), "leader-groups")
+    # Leaders of the tiles' groups against each other, in tiles of their own.
+    leaders = local.filter(F.col("wide") & (F.col("set") == F.col("local"))).select("family", "set", "n", "bitmap", "items")
+    placed = _tiles(leaders.select("family", "set", "n"))
+    led = table(_link_tiles(placed.join(leaders.select("set", "bitmap", "items"), "set")), "leader-groups")
     leader = led.select(F.col("set").alias("local"), F.col("local").alias("led"))
-    groups = table(here.join(leader, "local", "left").select("family", "set", F.coalesce("led", "local").alias("group")), "family-groups")
-    edges = edges.unionByName(led.filter(F.col("set") != F.col("local")).select(F.col("set").alias("a"), F.col("local").alias("b")))
-    # All that is outside the largest group, in blocks, against all of the family.
+    grouped = local.filter("wide").select("family", "set", "local").join(leader, "local", "left")
+    groups = table(grouped.select("family", "set", F.coalesce("led", "local").alias("group")), "family-groups")
+    # All that is outside the largest group, in blocks, against all of the family whose sizes allow a link.
     size = groups.groupBy("family", "group").agg(F.count("*").alias("size"))
-    largest = size.groupBy("family").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
-    marked = wide.join(groups, ["family", "set"]).join(largest, "family").withColumn("outside", F.col("group") != F.col("largest")).drop("largest")
+    largest = apart(size.groupBy("family").agg(F.max_by("group", F.struct("size", "group")).alias("largest")))
+    at = tiled.filter("wide").select("family", "set", "band", "part").join(groups.drop("family"), "set").join(largest, "family")
+    marked = table(at.withColumn("outside", F.col("group") != F.col("largest")).drop("largest"), "marked")
+    crossed = _cross(marked, arrays)
+    edges = table(as_edges(local).unionByName(as_edges(led)).unionByName(crossed) if crossed is not None else as_edges(local).unionByName(as_edges(led)), "links")
+    spent(tiled, local, led, groups, marked)
+    return edges
+
+
+def _cross(marked: DataFrame, arrays: DataFrame) -> DataFrame | None:
+    """Edges between groups of wide families: sets outside the largest group, in blocks of a band, meet each tile of their
+    own band and of the two beside it. None if there are no such sets."""
     outside = marked.filter("outside")
     if outside.limit(1).count() == 0:
-        return edges
-    blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int")
-    asked = outside.join(blocks, "family").withColumn("block", block).drop("blocks", "tile").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("outside", F.lit(True))
-    told = marked.join(blocks, "family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("outside", F.lit(False))
-    order = ["family", "tile", "block", "set", "group", "outside"]
-    both = asked.select(order).unionByName(told.select(order)).join(arrays, "set")
-    iterate = _groups(["family", "tile", "block"])
+        return None
+    blocks = outside.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    parts = marked.groupBy("family", "band").agg((F.max("part") + 1).alias("parts"))
+    # (asking band, its blocks, told band, its tiles), for bands at most one apart
+    beside = blocks.withColumn("told", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    meetings = table(beside.join(parts.select("family", F.col("band").alias("told"), "parts"), ["family", "told"]).withColumnRenamed("band", "asked"), "meetings")
+    block = F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int").alias("block")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["family", "asked", "told", "part", "block"]
+    asked = outside.withColumnRenamed("band", "asked").drop("part").join(apart(meetings), ["family", "asked"]).select("family", "asked", "told", each("parts").alias("part"), block, "set", "group", F.lit(True).alias("outside"))
+    told = marked.withColumnRenamed("band", "told").join(apart(meetings), ["family", "told"]).select("family", "asked", "told", "part", each("blocks").alias("block"), "set", "group", F.lit(False).alias("outside"))
+    needed = marked.join(apart(meetings.select("family", F.col("told").alias("band")).distinct()), ["family", "band"], "left_semi")
+    both = asked.unionByName(told).join(_sifted(arrays, needed.select("set"), "set"), "set")
+    iterate = _groups(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in iterate(batches):
@@ -481,27 +518,63 @@ def _links(members: DataFrame, arrays: DataFrame) -> DataFrame:
             found = _compare(t, t.column("outside").to_numpy(zero_copy_only=False), Forest(len(distinct)), start)
             yield pa.record_batch([pa.array([int(group[x[k]]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    parts = width(members.sparkSession)
-    crossed = both.repartition(parts, "family", "tile", "block").sortWithinPartitions("family", "tile", "block").mapInArrow(run, "a long, b long")
-    return edges.unionByName(crossed)
+    return both.repartition(width(marked.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (least document it reaches by links)."""
+def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of sets, and each linked set's group: set, component (the least set of the group)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = table(set_table(docs), "sets")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("m").alias("m"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(width(spark), BUCKETS, -(-int(0.35 * total) // ENTRIES_A_TASK))
-    candidates = _candidates(_shared(_entries(docs, parts), parts), classes)
-    arrays = table(_arrays(docs, table(candidates, "candidates")), "arrays")
+    parts = max(width(spark), -(-int(0.35 * total) // ENTRIES_A_TASK))
+    candidates = table(_candidates(_shared(_entries(docs, parts), parts), classes), "candidates")
+    arrays = table(_arrays(docs, candidates), "arrays")
+    spent(candidates)
     family = components(_edges(arrays, parts))
-    members = arrays.select("set", "n").join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set").distinct()
-    joined = components(_links(members, arrays.select("set", "n", "bitmap", "items")))
+    members = table(arrays.select("set", "n").join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set").distinct(), "members")
+    edges = _links(members, arrays.select("set", "n", "bitmap", "items"))
+    spent(arrays, members)
+    joined = components(edges)
+    spent(edges)
+    return sets, joined.select(F.col("node").alias("set"), "component")
+
+
+def with_set(rows: DataFrame, name: str) -> DataFrame:
+    """rows with one column more: the set hash of their text; null where it has no shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in texts.text_slices(batch, "text", 8_000_000):
+                s = Sets(values)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.name.view(np.int64), mask=s.size == 0)], names=[*part.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (least document it reaches by links)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, joined = _labels(docs)
     known = sets.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    labelled = known.join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    labelled = known.join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = labelled.join(least, "component").select("set", "component_id")
+    label = apart(labelled.join(apart(least), "component").select("set", "component_id"))
     out = sets.join(label, "set", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, without all but one of each group: the one with the least id (null is above all
+    others), of rows with that id the one with the least set hash, and of those the first text. Rows without shingles
+    stay, each of them."""
+    spare = lambda name: name if name not in docs.columns else spare(f"_{name}")
+    name, key, place = spare("_set"), spare("_key"), spare("_place")
+    sets, joined = _labels(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    known = sets.filter("n > 0").select("set", "doc_id").distinct().join(joined, "set", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "set")
+    first = known.groupBy(F.coalesce("component", "set").alias("component")).agg(F.min_by(F.struct("doc_id", "set"), order).alias("first"))
+    keys = first.select(F.xxhash64("first.doc_id", "first.set").alias(key))
+    marked = with_set(docs, name).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(name)))
+    one = marked.filter(F.col(name).isNotNull()).join(keys, key, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1)
+    return one.drop(place).unionByName(marked.filter(F.col(name).isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))

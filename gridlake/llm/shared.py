@@ -1,8 +1,8 @@
 """The folder that all executors share: tables and files that later jobs read.
 
-Everything here is written under ``spark.checkpoint.dir`` when the session has it. Only where it is unset (tests, one
-machine) a folder of our own is made. Files are written under a name of the task attempt and then renamed, so a task
-that runs twice leaves the same file.
+Everything here is written under ``spark.checkpoint.dir`` when the session has it. Only where it is unset and the
+master is local (tests, one machine) a folder of our own is made. Files are written under a name of the task attempt and
+then renamed, so a task that runs twice leaves the same file.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, from the session's ``spark.checkpoint.dir``."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "gridlake-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -57,7 +59,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._gridlake_at = at
+    return made
+
+
+def spent(*tables: DataFrame) -> None:
+    """Remove tables that table() made and that no later job reads."""
+    for t in tables:
+        drop(t._gridlake_at)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Rows dealt anew in even parts: a join then shuffles this side by its own keys, so that Spark can split a hot key of
+    the join's other side instead of taking over the partitions of an aggregate."""
+    return df.hint("rebalance")
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

@@ -94,6 +94,28 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert [r.component_id for r in jaccard.groups(df.filter("doc_id = 3")).collect()] == [3]
 
 
+def test_texts_without_an_id_still_connect_others(spark):
+    own = [f"w{k}" for k in range(60)]
+    near = lambda *gone: " ".join(f"x{k}" if k in gone else w for k, w in enumerate(own))
+    rows = [(7, near(30)), (None, near()), (None, near()), (9, near(55))]  # 7 and 9 are linked with the nameless text only
+    got = {(r.doc_id, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 7), (9, 7), (None, 7)}
+    rows = [(None, near()), (None, near()), (None, near(30)), (None, "quite another text")]
+    assert {r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {None}
+    assert jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, text), (1, "unrelated words that share the id only"), (2, text + " more"), (None, text), (None, ""), (None, ""), (3, None), (3, "z")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _set string, _key int")
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    want = [(1, text), (1, "unrelated words that share the id only"), (None, ""), (None, ""), (3, None), (3, "z")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+    assert jaccard.keep_one(df.limit(0)).collect() == []
+
+
 def test_threshold_is_exact(spark):
     words = [f"w{k}" for k in range(200)]
     base = " ".join(words[:104])  # 100 shingles
