@@ -8,7 +8,7 @@ folder and reads them back.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import decontam, jaccard, line_dedup, packing, quality
@@ -31,11 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least id. Rows without an id stay; of rows that share an id, one stays."""
-    first = jaccard.groups(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    known = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").withColumn("_row", one).filter("_row = 1").drop("_row")
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of documents that links connect, the one with the least id. Rows that share an id are judged by their texts."""
+    return jaccard.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
