@@ -9,9 +9,14 @@ it only where the box has at most half of the page's text, so versions of one ar
 subtrees are counted; inside it only boxes and marked-up elements, never plain paragraphs, headings or quotes: articles
 may share passages.
 
-Counts are pre-aggregated and keyed by host and hash, so a host with a third of all pages is spread over tasks. A host
-has few template subtrees (each is on a share of its pages, so there are at most an average page's subtrees / BOX_SHARE);
-they reach its pages by a join whose host key is salted.
+Counts are pre-aggregated and keyed by host and hash, so a host with a third of all pages is spread over tasks. Its page
+count decides, before anything is collected, which subtrees are template; these are few (each is on a share of the
+host's pages, so there are at most an average page's subtrees / BOX_SHARE). They reach its pages by a join on the host,
+of which Spark splits a hot host's pages.
+
+A class, id or role names a part only as a whole: each of its words must be a part's name or a word for a box, as in
+``site-footer`` or ``ad-slot``; ``legal-history`` and ``share-price`` are content. Parsing and all that follows go by
+stacks of their own, so nesting has no limit, and an attribute's value without quotes ends at white space or ``>``.
 
 Text: the article (or main, or the body where neither is there) cut into blocks at block-level tags; character
 references decoded, white space inside a block one space, trimmed, blocks joined by two line ends.
@@ -34,32 +39,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import apart
+
 MANY = 5
 SHARE = 0.5
 BOX_SHARE = 0.01
-SALTS = 16
 OUT = "page_id long, url string, text string, n_chars long"
 
 # HTML element names and usual names of page parts.
-DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "title", "iframe", "svg", "math", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "label", "fieldset", "dialog", "menu", "map"}
+DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "head", "title", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "textarea", "input", "dialog", "menu", "map"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "code", "sub", "sup", "br", "u", "small", "mark", "q", "cite", "abbr", "time", "s", "del", "ins", "kbd", "font"}
-KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}  # an article's headings are no template
-CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+KEPT = HEADINGS | {"header"}  # an article's headings are no template
+APART = {"nav", "aside", "footer", "form", "fieldset", "menu", "dialog"}  # these end a paragraph too, and hold their own
+CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | APART
 PARTS = {
     "nav", "navbar", "navigation", "menu", "menubar", "header", "masthead", "banner", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent",
     "gdpr", "notice", "alert", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal",
     "overlay", "toolbar", "widget", "search", "copyright", "legal", "disclaimer", "skip", "toc", "tags", "contentinfo", "complementary", "paywall",
 }
+BOXES = {
+    "a", "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "div", "element", "entry", "fixed", "form", "frame", "global", "group", "head", "heading", "holder", "horizontal", "icon", "icons", "inner", "item", "items",
+    "js", "large", "layer", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "side", "site", "slot", "small", "sticky", "story", "stories", "tab", "tabs", "text", "title", "top",
+    "unit", "vertical", "view", "wrap", "wrapper", "article", "articles", "media", "desktop", "the",
+}
 CARDS = {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related", "teaser"}
 HEADERS = {"header", "masthead", "banner"}
 STATES = {"has", "with", "no", "not", "is", "without", "wp"}
-DEEPEST = 200
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(>|$))", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAMES = re.compile(r"[a-z0-9]+")
+# An attribute: a name, and perhaps a value in quotes, or without them up to white space or the tag's end.
+_PAIR = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+))?"""
+_TAG = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR}|=)*+)(>|\Z))", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_NAMES = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -78,7 +93,8 @@ def _names_part(word: str, tag: str) -> bool:
         return False
     if tag == "article":  # an article is a part only where it is a comment or an advert
         return names[0] in CARDS
-    return names[0] in PARTS or names[-1] in PARTS
+    names = [n for n in names if not n.isdigit()]
+    return bool(PARTS & set(names)) and all(n in PARTS or n in BOXES for n in names)
 
 
 def _part(tag: str, attributes: str) -> tuple[bool, str]:
@@ -98,11 +114,48 @@ def _part(tag: str, attributes: str) -> tuple[bool, str]:
     return bool(found), named
 
 
+_CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", *sorted(APART))
+_WALLS = ("article", "main", "body", "td", "th", "section", "div", *sorted(APART))
+
+
+class _Open:
+    """The stack of open elements, with how many there are of each tag, so that a tag that is not open costs no search."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.count: dict[str, int] = {}
+
+    def push(self, e: Element) -> None:
+        self.stack.append(e)
+        self.count[e.tag] = self.count.get(e.tag, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        for e in self.stack[k:]:
+            self.count[e.tag] -= 1
+        del self.stack[k:]
+
+    def has(self, *tags: str) -> bool:
+        return any(self.count.get(t) for t in tags)
+
+    def close(self, tags, walls=()) -> bool:
+        """Close the innermost of these elements and all in it, unless a wall stands before it."""
+        if self.has(*tags):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in tags:
+                    self.cut(k)
+                    return True
+                if self.stack[k].tag in walls:
+                    break
+        return False
+
+
 def parse(source: str) -> Element:
     """A lenient tree: unclosed elements end with their parent, stray end tags are ignored."""
     root = Element("#root")
-    stack = [root]
-    deep: dict[str, int] = {}  # open elements beyond the deepest level, which stand beside each other instead
+    opened = _Open(root)
+    stack = opened.stack
     at = 0
     while True:
         m = _TAG.search(source, at)
@@ -118,95 +171,68 @@ def parse(source: str) -> Element:
         if close:
             if tag == "br":
                 stack[-1].children.append(Element("br"))
-                continue
-            if deep.get(tag):
-                deep[tag] -= 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body", "td", "th", "section", "div") and tag in PLAIN and tag not in ("td", "th", "tr", "table"):
-                    break
+            else:
+                opened.close((tag,), _WALLS if tag in PLAIN and tag not in ("td", "th", "tr", "table") else ())
             continue
         # A head ends where the page's content begins, and a menu that was not closed where an article does.
-        ended = {"head"} if tag in BLOCKS and tag != "html" else set()
-        ended |= {"nav"} if tag in ("article", "main") else set()
-        for k in range(len(stack) - 1, 0, -1) if ended else ():
-            if stack[k].tag in ended:
-                del stack[k:]
-                break
+        if tag in BLOCKS and tag != "html":
+            opened.close(("head",))
+        if tag in ("article", "main"):
+            opened.close(("nav",))
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1) if same else ():
-            if stack[k].tag in same:
-                del stack[k:]
-                if tag != "tr" or stack[-1].tag != "tr":
-                    break
-            elif stack[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot"):
-                break
+            opened.close(("p",), (BLOCKS | APART) - {"p"})
+        if tag in _CLOSED_BY:
+            while opened.close(_CLOSED_BY[tag], _LISTS) and tag == "tr" and stack[-1].tag == "tr":
+                pass
         element = Element(tag, *_part(tag, attributes))
         stack[-1].children.append(element)
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = _RAW_END[tag].search(source, at)
             element.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
             continue
-        if len(stack) < DEEPEST:
-            stack.append(element)
-        else:
-            deep[tag] = deep.get(tag, 0) + 1
+        opened.push(element)
     if at < len(source):
         rest = source[at:]
         stack[-1].children.append(rest.split("<")[0] if re.match(r"<[a-zA-Z/!?]", rest) else rest)
     return root
 
 
+def _elements(top: Element, into=lambda e: True) -> Iterator[Element]:
+    """The elements below top in page order, each before those in it; in those that into() is false for, no further."""
+    todo = [c for c in reversed(top.children) if not isinstance(c, str)]
+    while todo:
+        e = todo.pop()
+        yield e
+        if into(e):
+            todo.extend(c for c in reversed(e.children) if not isinstance(c, str))
+
+
 def _main(root: Element) -> list[Element]:
     """The outermost articles; else the outermost main elements; else none."""
-    for tags in ({"article"}, {"main"}):
-        found: list[Element] = []
-
-        def walk(e: Element, tags=tags, found=found) -> None:
-            for c in e.children:
-                if not isinstance(c, str) and c.tag not in DROPPED and c.part != "other":
-                    if c.tag in tags:
-                        found.append(c)
-                    else:
-                        walk(c)
-
-        walk(root)
+    content = lambda e: e.tag not in DROPPED and e.part != "other"
+    for tag in ("article", "main"):
+        found = [e for e in _elements(root, lambda e, tag=tag: content(e) and e.tag != tag) if e.tag == tag and content(e)]
         if found:
             return found
     return []
 
 
-def _prune(e: Element, inside: bool) -> None:
-    """Take away what is never main text. A header inside an article keeps its headings."""
-    kept: list[Element | str] = []
-    for c in e.children:
-        if isinstance(c, str):
-            kept.append(c)
-            continue
-        if c.tag in DROPPED or c.part == "other":
-            continue
-        if c.tag == "header" or c.part == "header":
-            if inside:
-                c.children = [x for x in c.children if not isinstance(x, str) and x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")]
-            else:
-                continue
-        c.inside = inside
-        _prune(c, inside)
-        kept.append(c)
-    e.children = kept
+def _prune(top: Element, inside: bool) -> None:
+    """Take away what is never main text. A header inside an article keeps its headings, wherever they are in it."""
+    goes = lambda e: e.tag in DROPPED or e.part == "other"
+    todo = [top]
+    while todo:
+        e = todo.pop()
+        e.children = [c for c in e.children if isinstance(c, str) or not (goes(c) or (not inside and (c.tag == "header" or c.part == "header")))]
+        for c in e.children:
+            if not isinstance(c, str):
+                c.inside = inside
+                if c.tag == "header" or c.part == "header":
+                    c.children = [x for x in _elements(c, lambda x: not goes(x) and x.tag not in HEADINGS) if x.tag in HEADINGS and not goes(x)]
+                todo.append(c)
 
 
 def pruned(source: str | None) -> Element:
@@ -226,23 +252,24 @@ def _candidate(e: Element) -> bool:
     return not e.inside or (e.tag not in KEPT and (e.marked or e.tag not in PLAIN))
 
 
-def _digest(e: Element, out: dict[int, int | None]) -> bytes:
-    """Hash every subtree and count its characters; note those that may be template, and of boxes the characters."""
-    h = blake2b(e.tag.encode(), digest_size=8)
-    for c in e.children:
-        if isinstance(c, str):
-            text = _SPACE.sub(" ", c).strip()
-            if text:
-                h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
-                e.size += len(text)
-        else:
-            h.update(b"\1" + _digest(c, out))
-            e.size += c.size
-    d = h.digest()
-    e.digest = int.from_bytes(d, "little", signed=True)
-    if e.tag not in ("#main", "article", "main", "body", "html", "br", "hr", "img") and e.children and _candidate(e):
-        out[e.digest] = None if e.tag in PLAIN or e.tag in KEPT else e.size
-    return d
+def _digest(top: Element) -> dict[int, int | None]:
+    """Hash every subtree and count its characters. Returns those that may be template, with the characters of boxes."""
+    out: dict[int, int | None] = {}
+    for e in reversed([top, *_elements(top)]):  # what is in an element comes after it, so here before
+        h = blake2b(e.tag.encode(), digest_size=8)
+        for c in e.children:
+            if isinstance(c, str):
+                text = _SPACE.sub(" ", c).strip()
+                if text:
+                    h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+                    e.size += len(text)
+            else:
+                h.update(b"\1" + c.digest.to_bytes(8, "little", signed=True))
+                e.size += c.size
+        e.digest = int.from_bytes(h.digest(), "little", signed=True)
+        if e.tag not in ("#main", "article", "main", "body", "html", "br", "hr", "img") and e.children and _candidate(e):
+            out[e.digest] = None if e.tag in PLAIN or e.tag in KEPT else e.size
+    return out
 
 
 def blocks(top: Element, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
@@ -284,15 +311,34 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _pack(e: Element) -> list:
-    return [e.tag, int(e.inside), int(e.marked), e.digest, [c if isinstance(c, str) else _pack(c) for c in e.children]]
+def _pack(top: Element) -> list:
+    """A tree as a flat list: an element's fields, then what is in it, then None; texts as they are."""
+    out: list = []
+    todo: list[Element | str | None] = list(reversed(top.children))
+    while todo:
+        e = todo.pop()
+        if e is None or isinstance(e, str):
+            out.append(e)
+        else:
+            out.append([e.tag, int(e.inside), int(e.marked), e.digest])
+            todo.append(None)
+            todo.extend(reversed(e.children))
+    return out
 
 
-def _unpack(x: list) -> Element:
-    e = Element(x[0], bool(x[2]))
-    e.inside, e.digest = bool(x[1]), x[3]
-    e.children = [c if isinstance(c, str) else _unpack(c) for c in x[4]]
-    return e
+def _unpack(flat: list) -> Element:
+    stack = [Element("#main")]
+    for x in flat:
+        if x is None:
+            stack.pop()
+        elif isinstance(x, str):
+            stack[-1].children.append(x)
+        else:
+            e = Element(x[0], bool(x[2]))
+            e.inside, e.digest = bool(x[1]), x[3]
+            stack[-1].children.append(e)
+            stack.append(e)
+    return stack[0]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -303,9 +349,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             hosts, found, whole, small = [], [], [], []
             for url, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own: dict[int, int | None] = {}
                 top = pruned(source)
-                _digest(top, own)
+                own = _digest(top)
                 hosts += [host(url)] * (len(own) + 1)
                 found += [None, *own]  # None counts the page
                 whole += [top.digest] * (len(own) + 1)
@@ -315,12 +360,11 @@ def extract(pages: DataFrame) -> DataFrame:
     # Copies of a page count once, so a subtree that only copies of one page have is not template.
     once = source.mapInArrow(hashes, "host string, subtree long, page long, small boolean").distinct()
     counted = once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("small").alias("small"))
-    many = counted.filter(F.col("n") >= MANY)
-    # A host's page count is the row with no subtree; hosts with fewer than MANY pages have no template.
-    per_host = many.groupBy("host").agg(F.max(F.when(F.col("subtree").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "n", "small"))).alias("subtrees"))
-    often = lambda s: (s["n"] >= SHARE * F.col("pages")) | ((s["small"] >= MANY) & (s["small"] >= BOX_SHARE * F.col("pages")))
-    template = per_host.select("host", F.transform(F.filter("subtrees", often), lambda s: s["subtree"]).alias("template")).filter(F.size("template") > 0)
-    salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A host's page count is the row with no subtree; it decides before a host's subtrees are collected.
+    sizes = counted.filter(F.col("subtree").isNull() & (F.col("n") >= MANY)).select("host", F.col("n").alias("pages"))
+    many = counted.filter(F.col("subtree").isNotNull() & (F.col("n") >= MANY)).join(apart(sizes), "host")
+    often = (F.col("n") >= SHARE * F.col("pages")) | ((F.col("small") >= MANY) & (F.col("small") >= BOX_SHARE * F.col("pages")))
+    template = many.filter(often).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,8 +372,7 @@ def extract(pages: DataFrame) -> DataFrame:
             packed = []
             for s in b.column(2).to_pylist():
                 top = pruned(s)
-                own: dict[int, int | None] = {}
-                _digest(top, own)
+                own = _digest(top)
                 # Without candidates the text is final already; else the tree goes along.
                 packed.append(zlib.compress(json.dumps(_pack(top) if own else "\n\n".join(blocks(top)), ensure_ascii=False).encode("utf-8", "surrogatepass"), 3))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "packed"])
@@ -343,6 +386,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [t.encode("utf-8", "replace").decode() for t in texts]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    prepared = source.mapInArrow(prepare, "page_id long, url string, host string, packed binary").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = prepared.join(salted, ["host", "salt"], "left").select("page_id", "url", "packed", "template")
+    prepared = source.mapInArrow(prepare, "page_id long, url string, host string, packed binary")
+    joined = prepared.join(apart(template), "host", "left").select("page_id", "url", "packed", "template")
     return joined.mapInArrow(finish, OUT)

@@ -260,6 +260,69 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<body>" + "<div>" * 197 + "<article><p>Body", ["Body"]), ("<body>" + "<div>" * 198 + "<article><p>Body", ["Body"]), ("<div>" * 50_000 + "<article><p>deep<p>er", ["deep", "er"]),
+    ("<article><p title=it's>one</p><p>two</p><p>Don't</p></article>", ["one", "two", "Don't"]), ("<article><p a=\"x>y\" b='\"' c=d/e>q<br/>z</p><a href=x/>l</a></article>", ["q z", "l"]),
+    ("<article><p>a <math><mi>x</mi></math> b</p><label>L</label><div class='legal-history'>LH</div><p class='share-price'>SP</p></article>", ["a x b", "L", "LH", "SP"]),
+    ("<article><p class='site-footer'>f</p><div class='ad-slot-2'>a</div><div id=related_articles>r</div><section class='x comments-list'>c</section><p>t</article>", ["t"]),
+    ("<article><header><div>by<h1>Head</h1><hgroup><h2>Sub</h2></hgroup></div></header><p>t</article>", ["Head", "Sub", "t"]), ("<article><p>m<!-- c --!><p>n<!--><p>o</article>", ["m", "n", "o"]),
+    ("<article><script>a</scripty></script ><p>t</article>", ["t"]), ("", []), (None, []),
+])
+def test_html_parts(source, want):
+    top = html_text.pruned(source)
+    html_text._digest(top)
+    assert html_text.blocks(html_text._unpack(html_text._pack(top))) == want
+
+
+def test_generated_pages_lose_and_gain_nothing():
+    """Pages whose text is known by construction: random blocks, inline tags, attributes and wrappers; junk around them."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgé'漢") for _ in range(rnd.randint(1, 7)))
+    attributes = lambda: rnd.choice(["", "", ' class="x y"', " id=it's", " data-a='>\"'", ' title="a>b"', " hreflang=en", ' class="story-text lead"'])
+    space = lambda: rnd.choice([" ", "\n", " \t "])
+
+    def inline(depth=0):
+        said, source = [], []
+        for _ in range(rnd.randint(1, 4)):
+            if depth < 3 and rnd.random() < 0.3:
+                tag = rnd.choice(["b", "i", "a", "span", "em"])
+                words, inner = inline(depth + 1)
+                said += words
+                source.append(f"<{tag}{attributes()}>{inner}</{tag}>")
+            else:
+                w = word()
+                said.append(w)
+                source.append(html.escape(w) if rnd.random() < 0.5 else "".join(f"&#{ord(c)};" for c in w))
+            if rnd.random() < 0.1:
+                source.append(f"<!-- {word()} > -->")
+        return said, space().join(source)
+
+    def block(depth=0):
+        kind = rnd.choice(["p", "h2", "blockquote", "ul", "div", "section", "table"])
+        if kind in ("div", "section") and depth < 6:
+            parts = [block(depth + 1) for _ in range(rnd.randint(1, 3))]
+            return [b for p in parts for b in p[0]], f"<{kind}{attributes()}>{space().join(p[1] for p in parts)}</{kind}>"
+        if kind == "ul":
+            parts = [inline() for _ in range(rnd.randint(1, 3))]
+            return [" ".join(p[0]) for p in parts], "<ul>" + "".join(f"<li{attributes()}>{p[1]}" + rnd.choice(["</li>", ""]) for p in parts) + "</ul>"
+        if kind == "table":
+            parts = [inline() for _ in range(4)]
+            return [" ".join(p[0]) for p in parts], "<table><tr><td>{}<td>{}</tr><tr><td>{}</td><td>{}</table>".format(*(p[1] for p in parts))
+        said, source = inline()
+        return [" ".join(said)], f"<{kind}{attributes()}>{source}" + ("" if kind == "p" and rnd.random() < 0.3 else f"</{kind}>")
+
+    junk = lambda: rnd.choice(["<nav><ul><li>{}</ul></nav>", "<aside>{}</aside>", "<form><label>{}</label><input value='>'></form>", "<script>if (a<b) '{}'</script>", "<div class='ad-banner'><p>{}</p></div>", "<footer>{}</footer>", "<style>{}</style>", "<div class=comments><article class=comment>{}</article></div>"]).format(word())
+    for _ in range(300):
+        want, source = [], []
+        for _ in range(rnd.randint(1, 6)):
+            blocks, said = block()
+            want += blocks
+            source += [said, junk() if rnd.random() < 0.4 else ""]
+        wrap = rnd.randint(0, 3)
+        page = f"<!doctype html><html><head><title>{word()}</title></head><body>{junk()}{'<div>' * wrap}<article{attributes()}>{''.join(source)}</article>{'</div>' * wrap}{junk()}</body></html>"
+        assert html_text.blocks(html_text.pruned(page)) == want, page
+
+
 def test_html_passages_that_articles_share_stay(spark):
     rows = [(k, "http://a.example/", f"<nav>n</nav><article><h1>Head</h1><p>Shared passage.</p><div class='promo2 note'>Read our app</div><p>own {k}</p></article>") for k in range(9)]
     got = [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
