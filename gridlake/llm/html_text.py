@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart
+from .shared import apart, table
 
 MANY = 5
 SHARE = 0.5
@@ -359,10 +359,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # Copies of a page count once, so a subtree that only copies of one page have is not template.
     once = source.mapInArrow(hashes, "host string, subtree long, page long, small boolean").distinct()
-    counted = once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("small").alias("small"))
+    counted = table(once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("small").alias("small")).filter(F.col("n") >= MANY), "subtrees")
     # A host's page count is the row with no subtree; it decides before a host's subtrees are collected.
-    sizes = counted.filter(F.col("subtree").isNull() & (F.col("n") >= MANY)).select("host", F.col("n").alias("pages"))
-    many = counted.filter(F.col("subtree").isNotNull() & (F.col("n") >= MANY)).join(apart(sizes), "host")
+    sizes = counted.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("pages"))
+    many = counted.filter(F.col("subtree").isNotNull()).join(apart(sizes), "host")
     often = (F.col("n") >= SHARE * F.col("pages")) | ((F.col("small") >= MANY) & (F.col("small") >= BOX_SHARE * F.col("pages")))
     template = many.filter(often).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 

@@ -1,20 +1,23 @@
 """Line dedup: a sharded minimal perfect hash over repeated lines' hashes; documents probe its arrays.
 
 A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z in lower case. Counts cover
-all rows: each task counts its own keys first, then a grouped sum joins them. The keys found in enough documents are
-dealt to shards by their hash; each shard gets a minimal perfect hash (levels of bit arrays: a key that is alone at its
-place in a level stays there, the others go on to the next) over three arrays: a 64-bit fingerprint, the count, and the
-largest document id. Documents probe the shards' arrays, one shard at a time; no line is joined with anything.
+all rows: each task counts its own keys first, then a grouped sum joins them. Every key that two or more documents have
+(one that a single document has is dropped nowhere) is dealt to a shard by its hash. A shard is a minimal perfect hash
+(levels of bit arrays: a key that is alone at its place in a level stays there, the others go on to the next; ranks are
+kept a word of 64 bits) that indexes two compact arrays, a 48-bit fingerprint and a count (of one byte where as few as 255 documents are asked for); keys
+with at least as many documents as asked have their largest id in a third one. Documents probe the arrays and the count
+decides; no line is joined with anything. A task gathers texts up to a size and probes each shard once for all of them.
+Shards on a local file system are mapped, so tasks of a machine share their pages; others are read into a cache of bounded
+size. A line that is in no shard passes for one that is with a probability of 2^-48.
 
 Defined results: a null or empty text is one empty line; each row is a document of its own, also where ids repeat, and a
-null id is below all others; a key's lines all stay in every row with the largest id; further columns are kept or
-ignored as the caller asks; an empty table gives no rows.
+null id is below all others; a key's lines all stay in every row with the largest id; very long texts are taken one by one;
+further columns are kept or ignored as the caller asks; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,42 +26,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .shared import SharedFile, filesystem, new_path, table
+from .shared import SharedFile, filesystem, new_path, spent, table
 
-KEYS_A_SHARD = 200_000
+KEYS_A_SHARD = 500_000  # about 5 MB
+GATHERED_BYTES = 32_000_000  # of texts, for which each shard is probed once
+CACHED_BYTES = 128_000_000  # of shards that cannot be mapped
 _NO_ID = np.iinfo(np.int64).min
 
 
 class MinimalPerfectHash:
-    """Maps each of n distinct 64-bit keys to a number of its own below n; other keys to any number, or -1."""
+    """Maps each of n distinct 64-bit keys to a number of its own below n; other keys to any number, or -1.
+
+    levels: bit arrays in words of 64 bits, of 64 * size bits each.
+    """
+
+    LEVELS = 48
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
-        self.before = np.cumsum([0, *(int(x.sum()) for x in levels)])
-        self.ranks = [np.cumsum(x) - x for x in levels]
+        self.ranks = []  # of each word: the keys before it, in all levels
+        n = 0
+        for words in levels:
+            per = np.bitwise_count(words).astype(np.int64)
+            self.ranks.append((n + np.cumsum(per) - per).astype(np.uint32))
+            n += int(per.sum())
 
     @staticmethod
-    def place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (texts.mix(keys + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
+    def place(keys: np.ndarray, level: int, words: int) -> np.ndarray:
+        return texts.mix(keys + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (1 << 64) - 1)) % np.uint64(64 * words)
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> MinimalPerfectHash:
+    def build(cls, keys: np.ndarray) -> MinimalPerfectHash | None:
+        """None if keys are equal, or do not come apart."""
         levels = []
         while len(keys):
-            size = 2 * len(keys)
-            at = cls.place(keys, len(levels), size)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            if len(levels) == cls.LEVELS:
+                return None
+            words = -(-2 * len(keys) // 64)
+            at = cls.place(keys, len(levels), words).astype(np.int64)
+            alone = np.bincount(at, minlength=64 * words) == 1
+            levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
             keys = keys[~alone[at]]
         return cls(levels)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for k, bits in enumerate(self.levels):
-            at = self.place(keys[open_], k, len(bits))
-            hit = bits[at]
-            out[open_[hit]] = self.before[k] + self.ranks[k][at[hit]]
+        for k, words in enumerate(self.levels):
+            if not len(open_):
+                break
+            at = self.place(keys[open_], k, len(words))
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            held = words[word]
+            hit = (held >> bit & np.uint64(1)).astype(bool)
+            below = held[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[open_[hit]] = self.ranks[k][word[hit]] + np.bitwise_count(below).astype(np.int64)
             open_ = open_[~hit]
         return out
 
@@ -125,13 +147,92 @@ def counts(docs: DataFrame, least_chars: int) -> DataFrame:
     return found.groupBy("key", "mark").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
-def build(keys: DataFrame, folder: str) -> DataFrame:
+def _count_type(least_docs: int) -> np.dtype:
+    return np.dtype(np.uint8 if least_docs <= 255 else np.uint32)
+
+
+def _joint(key: np.ndarray, mark: np.ndarray, salt: int) -> np.ndarray:
+    """One hash of both; two pairs that one salt makes equal another one parts."""
+    return texts.mix(key ^ texts.mix(mark + np.uint64(salt)))
+
+
+def shard_bytes(key: np.ndarray, mark: np.ndarray, n: np.ndarray, last: np.ndarray, least_docs: int) -> bytes:
+    """A shard's arrays: sizes, levels, fingerprints in two parts, counts, and the ids of keys with least_docs documents."""
+    made = None
+    for salt in range(64):
+        joint = _joint(key, mark, salt)
+        made = MinimalPerfectHash.build(joint)
+        if made is not None:
+            break
+    if made is None:
+        raise ValueError("keys do not come apart")
+    order = np.empty(len(key), np.int64)
+    order[made(joint)] = np.arange(len(key))
+    kind = _count_type(least_docs)
+    mark, n, last = mark[order], np.minimum(n[order], np.iinfo(kind).max).astype(kind), last[order]
+    head = np.array([len(key), salt, len(made.levels), *(len(x) for x in made.levels)], np.int64)
+    parts = [head, *made.levels, last[n >= least_docs], (mark & np.uint64(0xFFFFFFFF)).astype(np.uint32), (mark >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16), n]
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+
+
+class Shard:
+    """One shard's arrays, as views of its file's bytes."""
+
+    def __init__(self, data: pa.Buffer, least_docs: int):
+        head = np.frombuffer(data, np.int64, 3)
+        n, self.salt = int(head[0]), int(head[1])
+        sizes = np.frombuffer(data, np.int64, int(head[2]), 24)
+        at = 24 + 8 * len(sizes)
+        levels = []
+        for size in sizes.tolist():
+            levels.append(np.frombuffer(data, np.uint64, size, at))
+            at += 8 * size
+        self.hash = MinimalPerfectHash(levels)
+        kind = _count_type(least_docs)
+        ends = len(data) - (6 + kind.itemsize) * n
+        self.last = np.frombuffer(data, np.int64, (ends - at) // 8, at)
+        self.low, self.high = np.frombuffer(data, np.uint32, n, ends), np.frombuffer(data, np.uint16, n, ends + 4 * n)
+        self.n = np.frombuffer(data, kind, n, ends + 6 * n)
+        self.places = np.cumsum(self.n >= least_docs, dtype=np.uint32)  # of often repeated keys, in last
+
+    def probe(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's count of documents (0: not here), and the largest id of those that are repeated often enough."""
+        at = self.hash(_joint(key, mark, self.salt))
+        found = np.flatnonzero(at >= 0)
+        own = at[found]
+        same = (self.low[own] == (mark[found] & np.uint64(0xFFFFFFFF))) & (self.high[own] == (mark[found] >> np.uint64(32) & np.uint64(0xFFFF)))
+        found, own = found[same], own[same]
+        n, last = np.zeros(len(key), np.int64), np.full(len(key), _NO_ID)
+        n[found] = self.n[own]
+        if len(self.last):
+            last[found] = self.last[np.maximum(self.places[own].astype(np.int64) - 1, 0)]
+        return n, last
+
+
+class Shards:
+    """The shards of a directory (number: file), opened when they are first probed."""
+
+    def __init__(self, directory: dict[int, str], least_docs: int):
+        self.directory, self.least_docs = directory, least_docs
+        self.open: dict[int, tuple[Shard, int]] = {}
+        self.size = 0
+
+    def __getitem__(self, number: int) -> Shard:
+        if number not in self.open:
+            files, path = filesystem(self.directory[number])
+            mapped = files.type_name == "local"
+            source = pa.memory_map(path) if mapped else files.open_input_file(path)
+            data = source.read_buffer()
+            held = 0 if mapped else len(data)
+            while self.size + held > CACHED_BYTES and self.open:
+                self.size -= self.open.pop(next(iter(self.open)))[1]
+            self.open[number] = Shard(data, self.least_docs), held
+            self.size += held
+        return self.open[number][0]
+
+
+def build(keys: DataFrame, folder: str, shards: int, least_docs: int) -> DataFrame:
     """Write the shards' arrays for rows (key, mark, n, last). Returns the directory: shard, file, n_keys."""
-    spark = keys.sparkSession
-    total = keys.count()
-    shards = max(1, -(-total // KEYS_A_SHARD))
-    # key 0..2^64 as unsigned, cut evenly by its upper bits
-    shard = F.pmod(F.shiftrightunsigned("key", 33), F.lit(shards)).cast("int")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -142,45 +243,36 @@ def build(keys: DataFrame, folder: str) -> DataFrame:
         out = []
         for s in np.unique(which):
             part = rows.filter(pa.array(which == s))
-            key = part.column("key").to_numpy().view(np.uint64)
-            # Two marks under one key would need one place: the key is mixed with its mark.
-            mark = part.column("mark").to_numpy().view(np.uint64)
-            joint = texts.mix(key ^ texts.mix(mark))
-            made = MinimalPerfectHash.build(joint)
-            order = np.empty(len(key), np.int64)
-            order[made(joint)] = np.arange(len(key))
-            name = f"{folder}/shard-{s:06d}.npz"
+            key, mark = (part.column(k).to_numpy().view(np.uint64) for k in ("key", "mark"))
+            name = f"{folder}/shard-{s:06d}.bin"
             file = SharedFile(name)
-            arrays = {f"level{k}": np.packbits(x) for k, x in enumerate(made.levels)}
-            sizes = np.array([len(x) for x in made.levels], np.int64)
-            buffer = io.BytesIO()
-            np.savez(buffer, sizes=sizes, mark=mark[order], n=part.column("n").to_numpy()[order], last=part.column("last").to_numpy()[order], **arrays)
-            file.stream.write(buffer.getvalue())
+            file.stream.write(shard_bytes(key, mark, part.column("n").to_numpy(), part.column("last").to_numpy(), least_docs))
             file.close()
             out.append({"shard": int(s), "file": name, "n_keys": len(key)})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_keys", pa.int64())]))
 
-    dealt = keys.withColumn("shard", shard).repartition(max(1, min(shards, 4096)), "shard")
+    dealt = keys.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 33), F.lit(shards)).cast("int")).repartition(shards, "shard")
     return table(dealt.mapInArrow(store, "shard int, file string, n_keys long"), "line-shards")
 
 
-class Shard:
-    """One shard's arrays, read from its file."""
-
-    def __init__(self, uri: str):
-        files, path = filesystem(uri)
-        with files.open_input_file(path) as f:
-            data = np.load(f)
-            sizes = data["sizes"]
-            self.hash = MinimalPerfectHash([np.unpackbits(data[f"level{k}"], count=int(n)).view(bool) for k, n in enumerate(sizes)])
-            self.mark, self.n, self.last = data["mark"], data["n"], data["last"]
-
-    def probe(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in the shard, and their largest document id."""
-        at = self.hash(texts.mix(key ^ texts.mix(mark)))
-        found = at >= 0
-        found[found] = self.mark[at[found]] == mark[found]
-        return found, np.where(found, self.last[np.maximum(at, 0)], _NO_ID) if len(self.last) else np.full(len(key), _NO_ID)
+def _gathered(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[list[tuple[pa.RecordBatch, pa.Array, np.ndarray, Lines]]]:
+    """Slices of batches with their lines, gathered up to a size of texts."""
+    held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray, Lines]] = []
+    size = 0
+    for batch in batches:
+        ids = _ids(batch)
+        done = 0
+        for part, values in texts.text_slices(batch, "text"):
+            x = Lines(values, least_chars)
+            size += len(x.raw)
+            del x.raw, x.begin, x.end, x.a, x.b
+            held.append((part, values, ids[done : done + part.num_rows], x))
+            done += part.num_rows
+            if size >= GATHERED_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, digest: bool = False) -> DataFrame:
@@ -188,31 +280,29 @@ def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, dige
     spark = docs.sparkSession
     folder = new_path(spark, "line-arrays")
     source = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    frequent = table(counts(source, least_chars).filter(F.col("n") >= least_docs), "line-keys")
-    directory = {r["shard"]: r["file"] for r in build(frequent, folder).collect()}  # one short row a shard
-    shards = max(1, -(-frequent.count() // KEYS_A_SHARD))
+    repeated = table(counts(source, least_chars).filter(F.col("n") >= min(2, least_docs)), "line-keys")
+    shards = max(1, -(-repeated.count() // KEYS_A_SHARD))
+    directory = {r["shard"]: r["file"] for r in build(repeated, folder, shards, least_docs).collect()}  # one short row a shard
+    spent(repeated)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, Shard] = {}
-        for batch in batches:
-            ids = _ids(batch)
+        opened = Shards(directory, least_docs)
+        for held in _gathered(batches, least_chars):
+            key, mark = (np.concatenate([getattr(x, k) for *_, x in held]) for k in ("key", "check"))
+            which = (key >> np.uint64(33)) % np.uint64(shards)
+            order = np.argsort(which, kind="stable")
+            n, last = np.zeros(len(key), np.int64), np.full(len(key), _NO_ID)
+            for rows in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(key) else ():
+                s = int(which[rows[0]])
+                if s in directory:
+                    n[rows], last[rows] = opened[s].probe(key[rows], mark[rows])
+            often = n >= least_docs
             done = 0
-            for part, values in texts.text_slices(batch, "text"):
-                x = Lines(values, least_chars)
-                own = ids[done : done + part.num_rows][x.text[x.keyed]]
-                done += part.num_rows
-                gone = np.zeros(len(x.begin), bool)
-                which = ((x.key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(which):
-                    if int(s) not in directory:
-                        continue
-                    if int(s) not in kept:
-                        if len(kept) >= 4:  # a few shards in memory, however many there are
-                            kept.pop(next(iter(kept)))
-                        kept[int(s)] = Shard(directory[int(s)])
-                    rows = np.flatnonzero(which == s)
-                    found, last = kept[int(s)].probe(x.key[rows], x.check[rows])
-                    gone[x.keyed[rows[found & (last != own[rows])]]] = True
+            for part, values, ids, x in held:
+                here = slice(done, done + len(x.key))
+                done = here.stop
+                gone = np.zeros(len(x.text), bool)
+                gone[x.keyed] = often[here] & (last[here] != ids[x.text[x.keyed]])
                 n_dropped = np.add.reduceat(gone.astype(np.int64), x.first[:-1]) if part.num_rows else np.zeros(0, np.int64)
                 text = []
                 for k, old in enumerate(values.to_pylist()):

@@ -135,10 +135,54 @@ def test_line_dedup(spark, odd, monkeypatch):
     assert line_dedup.drop_lines(texts(spark, odd).limit(0), digest=True).collect() == []
 
 
+@pytest.mark.parametrize("least", [5, 300])
+def test_line_arrays_hold_counts_and_ids(least, monkeypatch):
+    rng = np.random.default_rng(2)
+    key, mark = (rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) for _ in "ab")
+    key[:50] = key[50:100]  # one hash, other marks
+    n, last = rng.integers(2, 400, 3000), rng.integers(-9, 1 << 40, 3000)
+    shard = line_dedup.Shard(pa.py_buffer(line_dedup.shard_bytes(key, mark, n, last, least)), least)
+    got, ids = shard.probe(np.concatenate((key, key + np.uint64(1))), np.concatenate((mark, mark ^ np.uint64(0x5555))))
+    assert np.array_equal(got[:3000], n if least > 255 else np.minimum(n, 255)) and not got[3000:].any()
+    assert np.array_equal(ids[:3000][n >= least], last[n >= least])
+    tried = []
+    plain = line_dedup._joint
+    monkeypatch.setattr(line_dedup, "_joint", lambda k, m, salt: tried.append(salt) or (plain(k, m, salt) if salt else np.zeros_like(k)))
+    again = line_dedup.Shard(pa.py_buffer(line_dedup.shard_bytes(key, mark, n, last, least)), least)
+    assert tried == [0, 1] and np.array_equal(again.probe(key, mark)[0], got[:3000])
+
+
+def test_line_dedup_over_many_shards(spark, monkeypatch):
+    for name, value in {"KEYS_A_SHARD": 7, "GATHERED_BYTES": 20_000, "CACHED_BYTES": 1}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rnd = random.Random(3)
+    lines = [f"line number {k} which is long enough to be taken for a key" for k in range(400)]
+    rows = [(d, "\n".join(rnd.choices(lines, [1 / (k + 1) for k in range(400)], k=rnd.randint(1, 30)))) for d in rnd.sample(range(10**6), 300)]
+    holders = {}
+    for d, t in rows:
+        for x in set(t.split("\n")):
+            holders.setdefault(x, []).append(d)
+    want = {d: "\n".join(x for x in t.split("\n") if len(holders[x]) < 5 or max(holders[x]) == d) for d, t in rows}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(texts(spark, rows)).collect()} == want
+
+
+def test_quality_sample_is_bounded_and_no_prefix(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PARTS", 3)
+    df = spark.range(5000).repartition(9).select(F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    got = quality.sample(df)
+    assert len(got) == len(set(got)) == 750
+    first = [r.text for r in df.collect()[:750]]
+    assert len(set(first) & set(got)) < 500
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    assert 0 < sum(map(len, quality.sample(df))) * 4 <= 3000
+    assert quality.sample(df.select(F.repeat("text", 100).alias("text"))) == [] and quality.sample(df.limit(0)) == []
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64))
     made = line_dedup.MinimalPerfectHash.build(keys)
     assert sorted(made(keys).tolist()) == list(range(len(keys)))
+    assert line_dedup.MinimalPerfectHash.build(np.repeat(keys, 2)) is None
     assert (made(keys + np.uint64(1)) < len(keys)).all() and len(line_dedup.MinimalPerfectHash.build(keys[:0])(keys)) == len(keys)
 
 
