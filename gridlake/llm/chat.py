@@ -8,7 +8,8 @@ backslashes before it, which is taken away on reading; so a mark with a backslas
 mark.
 
 Defined results: a null text is empty; a null role reads back as null; turns sort by turn (nulls first), then role, then
-text, and repeated rows stay; conversations with a null id form one; an empty table gives no rows; further columns are
+text, and repeated rows stay; conversations with a null id form one; long texts and
+conversations take time in proportion to their length (one conversation is one row); an empty table gives no rows; further columns are
 ignored, whatever their names.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import running_sums, substrings
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "[SYS]", "[/SYS]", "[ROLE]", "[AS]", "[/ROLE]", "[NEXT]", "[NULL]")
 _ANY = "(?:" + "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in CONTROLS) + ")"
 
@@ -43,17 +46,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     row = F.struct(F.col("turn"), F.col("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
     sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    # Blocks: role, first and last turn. Only positions go through the fold, not texts.
-    block = "array<struct<role:string,low:int,high:int>>"
-
-    def merge(done: Column, k: Column) -> Column:
-        role, last = F.get("turns", k - 1)["role"], F.get(done, F.size(done) - 1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["role"].alias("role"), last["low"].alias("low"), k.alias("high"))))
-        opened = F.concat(done, F.array(F.struct(role.alias("role"), k.alias("low"), k.alias("high"))))
-        return F.when((F.size(done) > 0) & last["role"].eqNullSafe(role), joined).otherwise(opened).cast(block)
-
-    places = F.sequence(F.lit(1), F.size("turns"))
-    blocks = sorted_.withColumn("blocks", F.aggregate(places, F.array().cast(block), merge))
+    # Blocks begin where a role differs from the turn's before; then each ends before the next one's beginning.
+    role = lambda k: F.get("turns", k - 1)["role"]
+    begins = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: (k == 1) | ~role(k).eqNullSafe(role(k - 1)))
+    ends = lambda i: F.coalesce(F.get("begins", i + 1) - 1, F.size("turns"))
+    blocks = sorted_.withColumn("begins", begins).withColumn("blocks", F.transform("begins", lambda k, i: F.struct(role(k).alias("role"), k.alias("low"), ends(i).alias("high"))))
 
     # Pieces: what stands before each turn's text, the text, what stands after it.
     def pieces(b: Column) -> Column:
@@ -68,18 +65,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return F.transform(F.sequence(b["low"], b["high"]), piece)
 
     cut = blocks.withColumn("pieces", F.flatten(F.transform("blocks", pieces)))
-    spans = "array<struct<start:int,end:int>>"
-    begin = F.lit(len("<s>"))
-
-    def walk(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["before"])
-        end = start + F.char_length(p["text"])
-        more = F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))).cast(spans))).otherwise(acc["spans"])
-        return F.struct((end + F.char_length(p["after"])).alias("at"), more.alias("spans"))
-
-    walked = F.aggregate("pieces", F.struct(begin.alias("at"), F.array().cast(spans).alias("spans")), walk, lambda acc: acc["spans"])
+    length = lambda p: F.char_length(p["before"]) + F.char_length(p["text"]) + F.char_length(p["after"])
+    placed = cut.withColumn("at", running_sums(F.transform("pieces", length)))
+    span = lambda p, at: F.struct((at + len("<s>") + F.char_length(p["before"])).alias("start"), (at + len("<s>") + F.char_length(p["before"]) + F.char_length(p["text"])).alias("end"), p["loss"].alias("loss"))
+    loss = F.filter(F.zip_with("pieces", "at", span), lambda s: s["loss"])
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
-    return cut.select("conv_id", F.concat(F.lit("<s>"), text).alias("formatted"), walked.alias("loss"))
+    return placed.select("conv_id", F.concat(F.lit("<s>"), text).alias("formatted"), loss.alias("loss"))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
@@ -98,7 +89,7 @@ def parse_chats(chats: DataFrame) -> DataFrame:
         texts = F.when(named, F.get(cut, F.lit(1))).otherwise(F.substr(b, skip))
         return F.transform(F.split(texts, rf" {not_text}\[NEXT\] ", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    loss = F.array_join(F.transform(substrings(F.col("formatted"), F.col("loss")), unescape), "")
     return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_text"))
 
 

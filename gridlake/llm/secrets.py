@@ -3,8 +3,8 @@
 Spans are code points, end exclusive. A pattern's matches are leftmost and non-overlapping; their places come from the
 lengths of the gaps that ``split`` leaves and of the matches that ``regexp_extract_all`` finds.
 
-Battery. A candidate is a whole run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit that no
-base span touches. Its encoding is inferred (hex, base32, base64) and each symbol becomes its place in that alphabet.
+Battery. A candidate is a whole run of 20 or more characters of ``[A-Za-z0-9+/_-]``, with one or two ``=`` where they end
+it, that has a letter and a digit and that no base span touches (so of ``name=token`` the token alone). Its encoding is inferred (hex, base32, base64) and each symbol becomes its place in that alphabet.
 Three tests ask whether the places look drawn at random: chi-squared against equal frequencies, Wald-Wolfowitz runs
 about the alphabet's middle, and lag-one serial correlation. Fisher's method joins their p-values. Random tokens have
 uniform joint p-values, ordinary ones heap near zero; how far depends on length. So in each stratum of encoding and
@@ -14,7 +14,7 @@ counted over the whole table, each different token once (copies are no independe
 the counts are a fixed number of rows.
 
 Defined results: a null or empty text has no spans; each row is scanned by itself, so repeated rows and null ids are as
-any other; further columns are ignored, whatever their names; an empty table gives no rows.
+any other; spans of one start sort by kind; very long texts take time in proportion to their length and matches; further columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, running, running_sums
+
 # Fixed values of the base scan.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run of 32 or more, which is what is left of all runs
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 LENGTHS = (20, 24, 32, 48, 64, 128)
 STEPS = 100
 FALSE_SHARE = 0.05
+_FAR = 2_147_483_647
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -41,27 +44,48 @@ def _none() -> Column:
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of all leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
+    """Spans of all leftmost non-overlapping matches. Only a text that has some is split for its gaps."""
+
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g)), 1, F.size(found))
+
+        def place(gap: Column) -> Column:
+            before = running_sums(F.zip_with(gap, found, lambda g, v: g + F.char_length(v)))
+            starts = F.zip_with(before, gap, lambda b, g: b + g)
+            return F.zip_with(starts, found, lambda s, v: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.char_length(v)).alias("end"), v.alias("value"))).cast(_SPANS)
+
+        return F.when(F.size(found) > 0, let(gaps, place)).otherwise(_none())
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.char_length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))).cast(_SPANS)).alias("spans"))
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that no base span touches, in one pass over both by their starts."""
+    both = F.array_sort(F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s.alias("span"))), F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s.alias("span")))))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(_none())
+    def free(all_: Column) -> Column:
+        other = lambda field, none: F.transform(all_, lambda x: F.when(x["own"] == 0, x["span"][field]).otherwise(F.lit(none)))
+        reached = running(other("end", -1), F.greatest, F.lit(-1))
+        ahead = F.reverse(running(F.reverse(other("start", _FAR)), F.least, F.lit(_FAR)))
+        seen = F.zip_with(F.zip_with(reached, ahead, lambda r, a: F.struct(r.alias("r"), a.alias("a"))), all_, lambda n, x: F.struct(n["r"].alias("r"), n["a"].alias("a"), x["own"].alias("own"), x["span"].alias("span")))
+        kept = F.filter(seen, lambda x: (x["own"] == 1) & (x["r"] <= x["span"]["start"]) & (x["a"] >= x["span"]["end"]))
+        return F.transform(kept, lambda x: x["span"])
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(both, free)).otherwise(spans)
 
 
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal Z, to 1e-7 (a published rational approximation)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-x * x / 2) / 2.5066282746310002 * series
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+    def tail(z: Column) -> Column:
+        t = 1 / (1 + 0.2316419 * F.abs(z))
+        series = F.lit(0.0)
+        for c in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+            series = (series + c) * t
+        upper = F.exp(-z * z / 2) / 2.5066282746310002 * series
+        return F.when(z >= 0, upper).otherwise(1 - upper)
+
+    return let(z, tail)
 
 
 def _two_sided(z: Column) -> Column:
@@ -72,35 +96,55 @@ def _encoding(token: Column) -> Column:
     return F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
 
 
-def _p_value(token: Column) -> Column:
-    """The joint p-value of the three tests, under the hypothesis that the token is random in its encoding."""
-    kind = _encoding(token)
-    bare = F.translate(F.rtrim(F.regexp_replace(token, "=+$", "")), "-_", "+/")
+def _places(token: Column, kind: Column) -> Column:
+    """The alphabet's size, and each symbol's place in it."""
+    bare = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
     chars = F.split(F.when(kind == "hex", F.lower(bare)).otherwise(bare), "")
     alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    size = F.length(alphabet)
-    x = F.transform(chars, lambda c: F.instr(alphabet, c) - 1)
-
-    def tests(s: Column) -> Column:
-        x, n = s["x"], F.size(s["x"]).cast("double")
-        k = s["size"].cast("double")
-        squares = F.aggregate(F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda y: y == v)).cast("double")), F.lit(0.0), lambda a, c: a + c * c)
-        chi, df = squares * k / n - n, k - 1
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = F.transform(x, lambda v: (v * 2 >= k).cast("int"))
-        n1 = F.aggregate(high, F.lit(0), lambda a, v: a + v).cast("double")
-        n2 = n - n1
-        runs = 1 + F.aggregate(F.zip_with(F.slice(high, 2, F.size(high)), F.slice(high, 1, F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, v: a + v)
-        mean, var = 2 * n1 * n2 / n + 1, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
-        p_runs = F.when(var > 0, _two_sided((runs - mean) / F.sqrt(var))).otherwise(F.lit(1e-6))
-        m = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
-        lag = F.aggregate(F.zip_with(F.slice(x, 2, F.size(x)), F.slice(x, 1, F.size(x) - 1), lambda a, b: (a - m) * (b - m)), F.lit(0.0), lambda a, v: a + v)
-        p_lag = F.when(spread > 0, _two_sided((lag / spread + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-6))
-        half = -(F.ln(F.greatest(_normal_tail(z_chi), F.lit(1e-12))) + F.ln(F.greatest(p_runs, F.lit(1e-12))) + F.ln(F.greatest(p_lag, F.lit(1e-12))))
-        return F.exp(-half) * (1 + half + half * half / 2)
-
-    return F.get(F.transform(F.array(F.struct(x.alias("x"), size.alias("size"))), tests), F.lit(0))
+    return let(alphabet, lambda a: F.struct(F.length(a).cast("double").alias("k"), F.transform(chars, lambda c: F.instr(a, c) - 1).alias("x")))
+
+
+def _p_value(token: Column) -> Column:
+    """The joint p-value of the three tests, under the hypothesis that the token is random in its encoding.
+
+    Whatever is used more than once is a local name: an expression inside a lambda is evaluated at each use.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    pairs = lambda x, f: F.zip_with(F.slice(x, 2, F.size(x)), F.slice(x, 1, F.size(x) - 1), f)
+
+    def chi(x: Column, n: Column, k: Column) -> Column:
+        squares = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0))))
+        df = k - 1
+        return _normal_tail((F.pow(F.greatest(squares * k / n - n, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+
+    def runs(x: Column, n: Column, k: Column) -> Column:
+        def of(high: Column) -> Column:
+            counted = F.struct(total(high).alias("n1"), (1 + total(pairs(high, lambda a, b: (a != b).cast("double")))).alias("runs"))
+
+            def test(c: Column) -> Column:
+                product = 2 * c["n1"] * (n - c["n1"])
+                var = product * (product - n) / (n * n * (n - 1))
+                return F.when(var > 0, _two_sided((c["runs"] - product / n - 1) / F.sqrt(var))).otherwise(F.lit(1e-6))
+
+            return let(counted, test)
+
+        return let(F.transform(x, lambda v: (v * 2 >= k).cast("double")), of)
+
+    def lag(x: Column, n: Column) -> Column:
+        def test(c: Column) -> Column:
+            return F.when(c["spread"] > 0, _two_sided((c["lag"] / c["spread"] + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-6))
+
+        around = lambda y: F.struct(total(F.transform(y, lambda v: v * v)).alias("spread"), total(pairs(y, lambda a, b: a * b)).alias("lag"))
+        return let(total(x) / n, lambda m: let(F.transform(x, lambda v: v - m), lambda y: let(around(y), test)))
+
+    def joint(s: Column) -> Column:
+        x, k = s["x"], s["k"]
+        n = F.size(x).cast("double")
+        three = F.array(chi(x, n, k), runs(x, n, k), lag(x, n))
+        half = -total(F.transform(three, lambda p: F.ln(F.greatest(p, F.lit(1e-12)))))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+    return let(token, lambda t: let(_encoding(t), lambda kind: let(_places(t, kind), joint)))
 
 
 def _stratum(token: Column) -> Column:
@@ -121,8 +165,9 @@ def _scan(docs: DataFrame) -> DataFrame:
         "doc_id", text.alias("text"), F.filter(_matches(text, ASSIGN, 0), second).alias("assign"), F.filter(_matches(text, ACCESS, 1), long).alias("access"), _matches(text, HEX, 2).alias("hex"),
     )
     spans = F.array_sort(F.concat("assign", "access", "hex"))
-    free = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return base.withColumn("base", spans).withColumn("candidates", F.filter(_matches(F.col("text"), CANDIDATE, 3), free)).drop("text")
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    runs = base.withColumn("base", spans).withColumn("runs", F.filter(_matches(F.col("text"), CANDIDATE, 3), mixed))
+    return runs.withColumn("candidates", _apart(F.col("runs"), F.col("base"))).drop("text", "runs")
 
 
 def cuts(docs: DataFrame) -> dict[str, int]:

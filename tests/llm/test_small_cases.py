@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlake.llm import chat, decontam, html_text, line_dedup, packing, quality, secrets, token_files, warc
+from gridlake.llm import arrays, chat, decontam, html_text, line_dedup, packing, quality, secrets, token_files, warc
 from gridlake.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -231,19 +232,70 @@ def test_secrets(spark, odd):
     strong = [(200 + k, draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 44)) for k in range(60)]
     rows = [*odd, *more, *plain, *strong]
     got = secrets.digests(secrets.find_secrets(texts(spark, rows))).collect()
-    want = {}
+    want, number = {}, {}
     for d, t in rows:
         t = t or ""
         found = sorted(
             [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         )
         want[d] = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()
-    assert len(got) == len(rows) and all(r.base_sha256 == want[r.doc_id] for r in got)
+        number[d] = tuple(sum(f[3] == k for f in found) for k in ("assign", "access", "hex"))
+    assert len(got) == len(rows) and all(r.base_sha256 == want[r.doc_id] and (r.n_assign, r.n_access, r.n_hex) == number[r.doc_id] for r in got)
     spans = {r.doc_id: r.spans for r in got}
     assert sum("random" in spans[d] for d, _ in strong) >= 50 and not any("random" in spans[d] for d, _ in plain)
     assert secrets.find_secrets(texts(spark, odd).limit(0)).collect() == []
 
 
+def test_running_folds_and_substrings(spark):
+    for n in (0, 1, 127, 128, 129, 16_385):
+        df = spark.createDataFrame([([(7 * k) % 11 for k in range(n)], "é🙂x" * n, [(k, 3 * n - k) for k in range(0, n, 1 + n // 50)])], "x array<int>, t string, s array<struct<start:int,end:int>>")
+        r = df.select("x", "t", "s", arrays.running_sums(F.col("x")).alias("sums"), arrays.running(F.col("x"), F.greatest, F.lit(-1)).alias("most"), arrays.substrings(F.col("t"), F.col("s")).alias("parts")).first()
+        assert r.sums == [0, *itertools.accumulate(r.x)][:n] and r.most == [-1, *itertools.accumulate(r.x, max)][:n]
+        assert r.parts == [r.t[a:b] for a, b in r.s]
+
+
+def test_many_matches_and_turns_take_linear_time(spark):
+    """Folds that copy what they have took minutes for these."""
+    n = 40_000
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("token=abcdefgh"), k.cast("string"), F.lit(" x9"), F.sha1(k.cast("string"))))
+    began = time.time()
+    row = secrets.digests(secrets.find_secrets(spark.range(1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", tokens).alias("text")))).first()
+    assert (row.n_assign, row.n_hex) == (n, n)
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some text").alias("text"))
+    row = chat.digests(chat.format_chats(turns)).first()
+    assert (row.n_turns, row.loss_chars) == (n, n // 2 * 9)
+    assert time.time() - began < 90
+
+
+def test_spans_of_named_tokens(spark):
+    rnd = random.Random(11)
+    draw = lambda n: "".join(rnd.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(n - 2)) + "a1"
+    rows = [(k, f"MYVAR={draw(44)} then {draw(42)}== end {draw(22)}={draw(22)}") for k in range(150)]
+    got = secrets.digests(secrets.find_secrets(texts(spark, rows))).collect()
+    found = [s for r in got for s in r.spans.split(",") if s]
+    assert not any(s.startswith("random:2:") or s.startswith("random:0:") for s in found)
+    first = {"random:6:50", "random:56:100"}
+    assert sum(s in first for s in found) >= 0.9 * 2 * len(rows) and {(r.n_assign, r.n_access, r.n_hex) for r in got} == {(0, 0, 0)}
+
+
+@pytest.mark.parametrize("length", [20, 24, 32, 48, 64, 128])
+def test_randomness_battery_by_length(spark, length):
+    """Random tokens have joint p-values near uniform ones at every length, and most are found among ordinary tokens."""
+    rnd = random.Random(length)
+    for alphabet in secrets.ALPHABETS.values():
+        drawn = ["".join(rnd.choice(alphabet) for _ in range(length)) for _ in range(600)]
+        drawn = [t for t in drawn if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+        p = sorted(r.p for r in spark.createDataFrame([(t,) for t in drawn], "token string").select(secrets._p_value(F.col("token")).alias("p")).collect())
+        assert max(abs(x - (k + 0.5) / len(p)) for k, x in enumerate(p)) < 0.15, (length, alphabet[:3])
+    words = ["config", "handler", "service", "request", "Manager", "default", "v2", "index", "item3", "test"]
+    plain = [(1000 + k, "_".join(rnd.choice(words) for _ in range(40))[: length - 1] + "1") for k in range(300)]
+    strong = [(k, "".join(rnd.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(length - 2)) + "b2") for k in range(300)]
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.find_secrets(texts(spark, plain + strong))).collect()}
+    recall = sum("random" in got[d] for d, _ in strong) / len(strong)
+    wrong = sum("random" in got[d] for d, _ in plain) / max(1, sum("random" in x for x in got.values()))
+    assert recall >= (0.5 if length < 32 else 0.8) and wrong <= (0.3 if length < 24 else 0.15)  # short words look random too
+
+
 def test_copies_do_not_move_the_cuts(spark):
     rnd = random.Random(10)
     draw = lambda: "a1" + "".join(rnd.choice(secrets.ALPHABETS["base64"]) for _ in range(42))
