@@ -2,9 +2,9 @@
 
 Documents are dealt to shards by ranges of their id, so that shard order and order inside a shard are ascending ids.
 A shard is two Arrow IPC files. ``ids-*.arrow`` holds equal-length sequences: ``input_ids``, a fixed-size list of the
-narrowest unsigned type for the vocabulary, and ``mask``, a fixed-size list of booleans that is false on the padding at
-the shard's end. Batches are not compressed: a mapped file gives any sequence without a copy. ``docs-*.arrow`` holds
-``doc_id``, ``start`` (in the shard) and ``n_tokens``.
+narrowest unsigned type for the vocabulary, and ``mask``, a fixed-size list of bytes, 1 for ids and 0 on the padding at the
+shard's end. Batches are not compressed: a mapped file gives any sequence and its mask without a copy. ``docs-*.arrow``
+holds ``doc_id``, ``start`` (in the shard) and ``n_tokens``. Shards are written and read batch by batch, whatever their size.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows that share an id all stay, in the
 order of their compressed texts; very long texts are written piece by piece; an empty table gives no shards and no rows;
@@ -26,7 +26,7 @@ from .shared import SharedFile, filesystem, new_path, table, width
 from .tokens import encoder
 
 DOCS_A_SHARD = 4096
-MOST_SHARDS = 20_000  # beyond this shards grow: a shard is written as a stream, whatever its size
+MOST_SHARDS = 20_000  # beyond this shards grow; no task holds one
 SEQUENCES_A_BATCH = 512
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long, n_sequences long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -39,7 +39,7 @@ class ShardWriter:
         self.part, self.length, self.kind = part, length, kind
         self.names = [f"{folder}/{x}-{part:08d}.arrow" for x in ("ids", "docs")]
         self.value = pa.uint16() if kind.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("input_ids", pa.list_(self.value, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(self.value, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.files = [SharedFile(x) for x in self.names]
         self.writers = [pa.ipc.new_file(f.stream, s) for f, s in zip(self.files, (self.schema, self.index), strict=True)]
@@ -64,7 +64,7 @@ class ShardWriter:
         per = SEQUENCES_A_BATCH * self.length
         for k in range(0, len(values), per):
             part = values[k : k + per]
-            mask = np.arange(k, k + len(part)) < real
+            mask = (np.arange(k, k + len(part)) < real).view(np.uint8)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.writers[0].write_batch(pa.record_batch(lists, schema=self.schema))
             self.sequences += len(part) // self.length
@@ -123,26 +123,51 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_c
         done += [opened.close()] if opened else []
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int32()), ("ids_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
 
-    packed = docs.mapInArrow(pack, "part int, doc_id long, packed binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "packed")
+    packed = docs.mapInArrow(pack, "part int, doc_id long, packed binary").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "packed")
     return table(packed.mapInArrow(store, MANIFEST), "token-manifest")
 
 
-def open_ids(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a shard, and all sequences' masks as 0 and 1. Local files are mapped, not read."""
+def open_shard(uri: str) -> pa.ipc.RecordBatchFileReader:
+    """A shard's file, its batches by number. Local files are mapped, of others a batch is read when it is asked for."""
     files, path = filesystem(uri)
-    source = pa.memory_map(path) if files.type_name == "local" else files.open_input_file(path)
-    chunks = pa.ipc.open_file(source).read_all()
-    flat = [np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in chunks.column(k).chunks] or [np.zeros(0, np.uint16)]) for k in (0, 1)]
-    return flat[0], flat[1]
+    return pa.ipc.open_file(pa.memory_map(path) if files.type_name == "local" else files.open_input_file(path))
+
+
+def _flat(column: pa.FixedSizeListArray) -> np.ndarray:
+    """All values of a batch's lists, as a view."""
+    return column.flatten().to_numpy(zero_copy_only=True)
 
 
 def sequence(uri: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence of a shard and its mask, without reading the others."""
-    files, path = filesystem(uri)
-    source = pa.memory_map(path) if files.type_name == "local" else files.open_input_file(path)
-    batch = pa.ipc.open_file(source).get_batch(k // SEQUENCES_A_BATCH)
-    row = k % SEQUENCES_A_BATCH
-    return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+    """One sequence of a shard and its mask: views of the mapped file, no other sequence is read."""
+    batch = open_shard(uri).get_batch(k // SEQUENCES_A_BATCH)
+    length = batch.schema.field(0).type.list_size
+    at = slice(k % SEQUENCES_A_BATCH * length, (k % SEQUENCES_A_BATCH + 1) * length)
+    return _flat(batch.column(0))[at], _flat(batch.column(1))[at]
+
+
+def checksums(ids_file: str, docs_file: str) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of a shard's documents, each with the CRC-32 of its ids; batches of ids are passed once, in order."""
+    ids, docs = open_shard(ids_file), open_shard(docs_file)
+    held, begin, number, real = np.zeros(0, np.uint16), 0, 0, 0
+    for k in range(docs.num_record_batches):
+        batch = docs.get_batch(k)
+        out = []
+        for start, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            crc, at = 0, start
+            while at < start + n:
+                if at >= begin + len(held):
+                    begin += len(held)
+                    sequences = ids.get_batch(number)
+                    held, number = _flat(sequences.column(0)), number + 1
+                    real += int(_flat(sequences.column(1)).sum(dtype=np.int64))
+                part = held[at - begin : start + n - begin]
+                crc, at = zlib.crc32(part.astype("<u4"), crc), at + len(part)
+            out.append(crc)
+        yield batch, out
+    said = sum(docs.get_batch(k).column(2).to_numpy().sum() for k in range(docs.num_record_batches))
+    if number != ids.num_record_batches or real != said:
+        raise ValueError(f"{ids_file} has {real} ids in {number} of {ids.num_record_batches} batches, its documents {said}")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -152,14 +177,9 @@ def read(manifest: DataFrame) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                ids, mask = open_ids(shard["ids_file"])
-                if int(mask.sum()) != shard["n_tokens"]:
-                    raise ValueError(f"{shard['ids_file']} has {int(mask.sum())} ids, its manifest {shard['n_tokens']}")
-                files, path = filesystem(shard["docs_file"])
-                index = pa.ipc.open_file(files.open_input_file(path)).read_all()
-                start, n = (index.column(k).to_numpy() for k in ("start", "n_tokens"))
-                crc = [zlib.crc32(ids[a : a + m].astype("<u4")) for a, m in zip(start.tolist(), n.tolist(), strict=True)]
-                yield from pa.table([index.column(0), pa.array(start + shard["before"]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]).combine_chunks().to_batches()
+                for docs, crc in checksums(shard["ids_file"], shard["docs_file"]):
+                    start = pa.array(docs.column(1).to_numpy() + shard["before"])
+                    yield pa.record_batch([docs.column(0), start, docs.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row a shard, so this window is small.
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
