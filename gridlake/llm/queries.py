@@ -51,7 +51,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_all(warc.build_index(warc.write_pages(_table(spark, sf_dir, "pages")))).drop("url")
+    pages = _table(spark, sf_dir, "pages")
+    return warc.find(warc.build_index(warc.write_pages(pages)), pages).drop("url")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

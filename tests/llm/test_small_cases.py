@@ -447,7 +447,7 @@ def test_warc(spark):
     rows = [(3, "http://B.example.org:80/x?q=1", "same"), (1, "http://a.example.org/ü\r\nz", "same"), (2, None, None), (4, "http://a.example.org/", ""), (5, "http://a.example.org/", "é" * 50_000), (1, "again", "same"), (None, "n", "same"), (None, "n", "lone")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumn("digest", F.lit("d")).withColumn("offset", F.lit(0))
     directory = warc.build_index(warc.write_pages(df))
-    got = warc.read_all(directory).collect()
+    got = warc.find(directory, df).collect()
     first = {}
     for d, _, h in rows:
         if d is not None:
@@ -461,16 +461,37 @@ def test_warc(spark):
     index = warc.CaptureIndex(directory)
     assert sorted(x["page_id"] for x in index.lookup("http://A.example.org/")) == [4, 5] and index.lookup("http://none/") == []
     assert index.lookup("http://B.example.org:80/x?q=1")[0]["url"] == "http://B.example.org:80/x?q=1"
-    plain = warc.read_all(warc.build_index(warc.write_pages(df, least_bytes=1000))).collect()
+    plain = warc.find(warc.build_index(warc.write_pages(df, least_bytes=1000)), df).collect()
     assert {r.record_type for r in plain} == {"response"}
-    assert warc.read_all(warc.build_index(warc.write_pages(df.limit(0)))).collect() == []
-
+    assert warc.find(warc.build_index(warc.write_pages(df.limit(0))), df).collect() == []
+    assert warc.find(directory, df.limit(0)).collect() == [] and warc.find(directory, df.filter("page_id = 4")).count() == 2
+
+
+def test_warc_files_read_as_a_stream_and_name_each_record_once(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE_BYTES", 50)
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "x" * 500), (3, "w", "other"), (4, "w", "other"), (5, None, None)]
+    captures = warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    heads = []
+    for file in {r.file for r in captures.collect()}:
+        data = open(file.removeprefix("file://"), "rb").read()
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(data)
+            data = member.unused_data
+            heads.append(dict(x.split(": ", 1) for x in text.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]))
+    records = [h for h in heads if h["WARC-Type"] != "warcinfo"]
+    assert len(records) == len(rows) and len({h["WARC-Record-ID"] for h in heads}) == len(heads) > len(rows)
+    own = {h["WARC-Record-ID"]: h for h in records}
+    referred = {h["Page-ID"]: h.get("WARC-Refers-To") for h in records if h["WARC-Type"] == "revisit"}
+    assert referred["2"] is None and own[referred["4"]]["Page-ID"] == "3" and set(referred) == {"2", "4"}
 
 def test_warc_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     df = spark.range(50).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), F.col("id") % 7).alias("url"), F.concat(F.lit("page "), "id").alias("html"))
     directory = warc.build_index(warc.write_pages(df))
-    assert directory.count() >= 16
+    assert sum(r.blocks for r in directory.collect()) >= 16
+    found = warc.find(directory, df)
+    assert sorted(r.page_id for r in found.collect()) == list(range(50))
     assert sorted(x["page_id"] for x in warc.CaptureIndex(directory).lookup("http://h.example/3")) == list(range(3, 50, 7))
 
 
