@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column
@@ -82,10 +83,14 @@ class Dim:
         if self.regular:
             low = self.coord(i) - LOCI[self.locus] * abs(self.step)
             return low, low + abs(self.step)
+        return tuple(sorted(self._edges[i - 1 : i + 1]))
+
+    @cached_property
+    def _edges(self) -> list:
+        """Edges of an irregular axis, computed once."""
         x = self.values()
-        near = [(x[k] + x[k + 1]) / 2 for k in range(self.n - 1)]
-        edges = [x[0] - (near[0] - x[0]), *near, x[-1] + (x[-1] - near[-1])] if near else [x[0], x[0]]
-        return tuple(sorted((edges[i - 1], edges[i])))
+        near = [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)]
+        return [x[0] - (near[0] - x[0]), *near, x[-1] + (x[-1] - near[-1])] if near else [x[0], x[0]]
 
     @property
     def origin(self) -> float:

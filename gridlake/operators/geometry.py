@@ -90,19 +90,43 @@ def burn_lines(geoms: DataFrame, grid: Grid, carry: list[str], closed: bool = Fa
     s = segments(geoms, carry, closed).select("geom_id", *carry, "ring", "seg", u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2"))
     s = s.filter((F.greatest("u1", "u2") >= 0) & (F.least("u1", "u2") <= x.n) & (F.greatest("v1", "v2") >= 0) & (F.least("v1", "v2") <= y.n))
 
-    def moves(a: str, b: str, is_x: int) -> Column:
+    # The part of a segment that is on the grid or a cell beside it: from t_in to t_out of its length. What it crosses
+    # before is counted, not listed, so a segment makes no more rows than the grid has on its way.
+    def reach(a: str, b: str, n: int, least: bool) -> Column:
+        a_, d = F.col(a), F.col(b) - F.col(a)
+        ends = [(F.lit(-1.0) - a_) / d, (F.lit(n + 1.0) - a_) / d]
+        return F.when(d == 0, 0.0 if least else 1.0).otherwise(F.least(*ends) if least else F.greatest(*ends))
+
+    s = s.withColumn("t_in", F.greatest(F.lit(0.0), reach("u1", "u2", x.n, True), reach("v1", "v2", y.n, True)))
+    s = s.withColumn("t_out", F.least(F.lit(1.0), reach("u1", "u2", x.n, False), reach("v1", "v2", y.n, False))).filter("t_in <= t_out")
+
+    def crossing(a: str, b: str, k: Column) -> Column:
         a_, b_ = F.col(a), F.col(b)
-        n = F.abs(F.floor(b_) - F.floor(a_)).cast("int")
         lead = F.when(b_ > a_, F.floor(a_) - a_ + 1).otherwise(a_ - F.floor(a_))
-        at = lambda k: F.struct(((lead + k - 1) / F.abs(b_ - a_)).alias("t"), F.lit(is_x).alias("is_x"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.array().cast("array<struct<t:double,is_x:int>>"))
+        return (lead + k - 1) / F.abs(b_ - a_)
+
+    def before(a: str, b: str, t: str, also: bool) -> Column:
+        """How many crossings are before t (also: or at it); the guess is put right by the crossings themselves."""
+        a_, b_ = F.col(a), F.col(b)
+        all_ = F.abs(F.floor(b_) - F.floor(a_))
+        lead = F.when(b_ > a_, F.floor(a_) - a_ + 1).otherwise(a_ - F.floor(a_))
+        guess = F.floor(F.col(t) * F.abs(b_ - a_) - lead + 1)
+        is_before = lambda k: (crossing(a, b, k) <= F.col(t)) if also else (crossing(a, b, k) < F.col(t))
+        k = guess - F.when(~is_before(guess), 1).otherwise(0) + F.when(is_before(guess + 1), 1).otherwise(0)
+        return F.when(all_ > 0, F.least(all_, F.greatest(F.lit(0), k))).otherwise(F.lit(0)).cast("long")
+
+    s = s.withColumns({"skip_u": before("u1", "u2", "t_in", False), "skip_v": before("v1", "v2", "t_in", False), "end_u": before("u1", "u2", "t_out", True), "end_v": before("v1", "v2", "t_out", True)})
+
+    def moves(a: str, b: str, skip: str, end: str, is_x: int) -> Column:
+        at = lambda k: F.struct(crossing(a, b, k).alias("t"), F.lit(is_x).alias("is_x"))
+        return F.when(F.col(end) > F.col(skip), F.transform(F.sequence(F.col(skip) + 1, F.col(end)), at)).otherwise(F.array().cast("array<struct<t:double,is_x:int>>"))
 
-    path = F.array_sort(F.concat(F.array(F.struct(F.lit(-1.0).alias("t"), F.lit(-1).alias("is_x"))), moves("u1", "u2", 1), moves("v1", "v2", 0)))
-    steps = s.select("geom_id", *carry, "ring", "seg", "u1", "v1", "u2", "v2", F.posexplode(path).alias("k", "m"))
+    path = F.array_sort(F.concat(F.array(F.struct(F.lit(-1.0).alias("t"), F.lit(-1).alias("is_x"))), moves("u1", "u2", "skip_u", "end_u", 1), moves("v1", "v2", "skip_v", "end_v", 0)))
+    steps = s.select("geom_id", *carry, "ring", "seg", "u1", "v1", "u2", "v2", "skip_u", "skip_v", F.posexplode(path).alias("k", "m"))
     order = Window.partitionBy("geom_id", "ring", "seg").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     side = lambda a, b: F.when(F.col(b) < F.col(a), -1).otherwise(1)
     gone = lambda which: F.sum((F.col("m.is_x") == which).cast("int")).over(order)
-    cells = steps.withColumn("i", F.floor("u1") + 1 + side("u1", "u2") * gone(1)).withColumn("j", F.floor("v1") + 1 + side("v1", "v2") * gone(0))
+    cells = steps.withColumn("i", F.floor("u1") + 1 + side("u1", "u2") * (F.col("skip_u") + gone(1))).withColumn("j", F.floor("v1") + 1 + side("v1", "v2") * (F.col("skip_v") + gone(0)))
     inside = cells.filter(F.col("i").between(1, x.n) & F.col("j").between(1, y.n))
     return inside.select("geom_id", *carry, "ring", "seg", "k", _back(x, F.col("i")).alias("xi"), _back(y, F.col("j")).alias("yi"))
 

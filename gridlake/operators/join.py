@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..cells import Cells
 from ..grid import Dim
 
-SMALL_AXIS = 100_000  # cells of an axis that is sent to all executors
-
 
 def combine(a: Cells, b: Cells, f: Callable[[Column, Column], Column], layer: str = "value") -> Cells:
     """A cell-wise function of two frames on one grid; cells that either lacks are absent."""
@@ -43,17 +41,23 @@ def axis_table(spark, dim: Dim) -> DataFrame:
     return spark.createDataFrame(rows, f"{dim.column} int, coord double, lo double, hi double")
 
 
+def in_buckets(ranges: DataFrame, low: str, high: str, first: float, last: float, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Ranges, which do not overlap, by buckets of a line from first to last (column _bucket), and the bucket of a value.
+
+    A range is in each bucket it meets, so there are at most n rows more than ranges; a join on the bucket finds a value's
+    range without comparing it with all.
+    """
+    size = (last - first) / n or 1.0
+    bucket = lambda c: F.least(F.lit(n), F.greatest(F.lit(-1), F.floor((c - first) / size))).cast("long")
+    return ranges.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high))))), bucket
+
+
 def interval_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:
-    """The cell whose [lo, hi) holds a value. Axes are short; one that is not is joined by buckets of its cells."""
+    """The cell whose [lo, hi) holds a value, by an equi-join on buckets of the axis; Catalyst picks the join by size."""
     axis = axis_table(df.sparkSession, dim)
+    cells, bucket = in_buckets(axis, "lo", "hi", *map(float, dim.extent()), dim.n)
     inside = (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
-    if dim.n <= SMALL_AXIS:
-        return df.join(F.broadcast(axis), inside, "left").drop("coord", "lo", "hi")
-    low, high = dim.extent()
-    size = (high - low) / dim.n or 1.0
-    bucket = lambda c: F.floor((c - low) / size).cast("long")
-    cells = axis.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
-    return df.withColumn("_bucket", bucket(F.col(value))).join(cells, (F.col("_bucket") == cells["_bucket"]) & inside, "left").drop(cells["_bucket"]).drop("_bucket", "coord", "lo", "hi")
+    return df.withColumn("_at", bucket(F.col(value))).join(cells, (F.col("_at") == F.col("_bucket")) & inside, "left").drop("_at", "_bucket", "coord", "lo", "hi")
 
 
 def nearest_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cells import Cells
+from .join import in_buckets
 
 BLOCKS = 65_536  # of cells, for draws with replacement; their sums are as many rows
 
@@ -31,13 +32,14 @@ def sample(cells: Cells, n: int, seed: int, weights: Column | None = None, skipm
         df = df.withColumn("_b", F.pmod(F.xxhash64(*cells.columns), F.lit(blocks)).cast("int"))
         sums = df.groupBy("_b").agg(F.sum("_w").alias("_s"))  # at most BLOCKS rows
         upto = F.sum("_s").over(Window.orderBy("_b"))
-        starts = sums.select("_b", (upto - F.col("_s")).alias("_from"), "_s")
-        total = sums.agg(F.sum("_s").alias("_t"))
-        draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select("id", ((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) + 0.5) / (1 << 53) * F.col("_t")).alias("_u"))
-        placed = draws.join(F.broadcast(starts), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_s")))
+        starts = sums.select("_b", (upto - F.col("_s")).alias("_from"), upto.alias("_to"))
+        total = sums.agg(F.sum("_s")).first()[0] or 0.0
+        draws = df.sparkSession.range(n).select("id", ((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) + 0.5) / (1 << 53) * F.lit(float(total))).alias("_u"))
+        ranges, bucket = in_buckets(starts, "_from", "_to", 0.0, float(total), blocks)
+        placed = draws.withColumn("_at", bucket(F.col("_u"))).join(ranges, F.col("_at") == F.col("_bucket")).filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).drop("_at", "_bucket")
         inside = Window.partitionBy("_b").orderBy(*cells.columns)
         hit = placed.select("_b").distinct()  # only blocks that were drawn are ordered
-        ranged = df.join(F.broadcast(hit), "_b", "left_semi").withColumn("_hi", F.sum("_w").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_w"))
+        ranged = df.join(hit, "_b", "left_semi").withColumn("_hi", F.sum("_w").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_w"))
         got = placed.join(ranged, "_b").filter((F.col("_u") - F.col("_from") >= F.col("_lo")) & (F.col("_u") - F.col("_from") < F.col("_hi")))
     out = []
     if geometry:

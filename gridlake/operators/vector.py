@@ -17,16 +17,21 @@ from .join import mask as mask_by
 from .select import crop
 
 
-def boolmask(geoms: DataFrame, grid: Grid, collapse: bool = True, invert: bool = False, **how: Any) -> Cells:
-    """True where any geometry covers the cell; without collapse for each geometry on a ``geometry`` axis."""
+def boolmask(geoms: DataFrame, grid: Grid, collapse: bool = True, invert: bool = False, dense: bool = True, **how: Any) -> Cells:
+    """True where any geometry covers the cell; without collapse for each geometry on a ``geometry`` axis, whose
+    labels are the geometries' ids in order. dense=False gives the cells that are covered alone, as a dense mask has as
+    many rows as cells times geometries."""
+    if invert and not dense:
+        raise ValueError("cells that no geometry covers are listed by a dense mask only")
     burned = geometry.burn(geoms, grid, **how)
     if collapse:
         hit = Cells(burned.select("xi", "yi").distinct().withColumn("mask", F.lit(True)), grid, ("mask",))
-        return hit.dense().map(lambda v: v.isNull() if invert else v.isNotNull())
-    n = geoms.agg(F.max("geom_id")).first()[0] or 0
-    on = Grid((*grid.dims, Dim("geometry", n)))
-    hit = Cells(burned.select("xi", "yi", F.col("geom_id").cast("int").alias("geometry"), F.lit(True).alias("mask")), on, ("mask",))
-    return hit.dense().map(lambda v: v.isNull() if invert else v.isNotNull())
+    else:
+        ids = [r[0] for r in geoms.select("geom_id").distinct().orderBy("geom_id").collect()]  # the result's axis
+        number = geoms.sparkSession.createDataFrame(list(enumerate(ids, 1)), f"geometry int, geom_id {dict(geoms.dtypes)['geom_id']}")
+        on = Grid((*grid.dims, Dim("geometry", len(ids), labels=tuple(ids))))
+        hit = Cells(burned.join(number, "geom_id").select("xi", "yi", "geometry", F.lit(True).alias("mask")).distinct(), on, ("mask",))
+    return hit.dense().map(lambda v: v.isNull() if invert else v.isNotNull()) if dense else hit
 
 
 def mask(cells: Cells, geoms: DataFrame, invert: bool = False, missingval: Any = None, **how: Any) -> Cells:

@@ -137,7 +137,9 @@ _MERCATOR_Y = "ln(tan(radians(-80 + (i - 1) * 10.0) / 2 + pi() / 4)) * 6378137.0
 _axis = lambda s, d: s.createDataFrame([(i, round(v, 4) + 0.0) for i, v in enumerate(d.values(), 1)], "i int, coord double")
 _add("reproject_axis", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:3857")), f"select cast(i as int) as i, round({_MERCATOR_Y}, 4) + cast(0 as double) as coord from range(1, 17) r(i)")
 _add("reproject_axis_x", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["X"], "EPSG:3857")), "select cast(i as int) as i, round(radians(-180 + (i - 1) * 10.0) * 6378137.0, 4) + cast(0 as double) as coord from range(1, 37) r(i)")
-_add("reproject_equal_area", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:6933")))
+# The cylindrical equal-area northing on WGS 84 with standard parallel 30 degrees, from its published formula.
+_CEA = "6378137.0 / 2 * (1 - e2) * (sp / (1 - e2 * sp * sp) - ln((1 - sqrt(e2) * sp) / (1 + sqrt(e2) * sp)) / (2 * sqrt(e2))) / (cos(radians(30.0)) / sqrt(1 - e2 * pow(sin(radians(30.0)), 2)))"
+_add("reproject_equal_area", lambda s, d: _axis(s, resample.reproject_dim(_LONLAT["Y"], "EPSG:6933")), f"select i, round({_CEA}, 4) as coord from (select cast(i as int) as i, sin(radians(-80 + (i - 1) * 10.0)) as sp, 0.0066943799901413165 as e2 from range(1, 17) r(i)) a")
 _add("select_projected", lambda s, d: select.sel(allocate(s, Grid((Dim("X", 3, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857", mappedcrs="EPSG:4326"),)), {"value": "int"}, 1), X=Between(0.89, 2.7)).df, "select cast(i as int) as xi, cast(1 as int) as value from range(1, 3) r(i)")
 _AFFINE = resample.Affine(0.0, 2.0, 0.5, 0.0, 0.25, 1.0)
 _add("affine_select", lambda s, d: resample.affine_select(R.geo_pts(s, d).select("id", "x", "y"), _AFFINE, 20, 12), "select id, x, y, case when i between 0 and 19 and j between 0 and 11 then cast(i + 1 as int) end as xi, case when i between 0 and 19 and j between 0 and 11 then cast(j + 1 as int) end as yi from (select id, x, y, floor((1.0 * x - 0.5 * y) / 1.875) as i, floor((2.0 * y - 0.25 * x) / 1.875) as j from geo_pts) g", "geo_pts")
@@ -179,7 +181,7 @@ _add("extract_index", lambda s, d: vector.extract(li(s, d)["n"], _points(s, d),
 _add("extract_stack_anymissing", lambda s, d: vector.extract(li(s, d).with_layer("w", F.when(F.col("n") > 100, F.col("n"))), _points(s, d), skipmissing=True, geometry_column=False), "select id, price, n, n as w from pts join li_grid using (xi, yi) where n > 100", "geo_pts", "pts", "li_grid")
 _add("extract_polygon", lambda s, d: vector.extract(li(s, d), R.zones(s, d)).select("id", F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y"), "price", "n"), "select geom_id as id, cast(xi as double) as x, cast(yi - 1 as double) as y, price, n from burned left join li_grid using (xi, yi)", "edges", "up", "burned", "li_grid")
 _add("extract_grouped", lambda s, d: vector.extract(li(s, d)["n"], R.zones(s, d), geometry_column=False, flatten=False).select("id", F.size("rows").cast("long").alias("cells"), F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + F.coalesce(r["n"], F.lit(0))).alias("n")), "select geom_id as id, count(*) as cells, cast(coalesce(sum(n), 0) as bigint) as n from burned left join li_grid using (xi, yi) group by 1", "edges", "up", "burned", "li_grid")
-_add("extract_line", lambda s, d: vector.extract(li(s, d)["n"], R.zones(s, d).withColumn("kind", F.lit("line")), geometry_column=False, index=True))
+_add("extract_line", lambda s, d: vector.extract(li(s, d)["n"], R.zones(s, d).withColumn("kind", F.lit("line")), geometry_column=False, index=True).select("id", F.col("index.xi").alias("xi"), F.col("index.yi").alias("yi"), "n"), "select id, xi, yi, n from (select geom_id as id, xi, yi, lag(xi) over o as px, lag(yi) over o as py from walk where e < 3 and xi between 1 and 50 and yi between 1 and 11 window o as (partition by geom_id order by e, k)) w left join li_grid using (xi, yi) where px is null or px <> xi or py <> yi", "segs", "steps", "walk", "li_grid")
 for _m, _s, _e in (("sum", "sum(val)", None), ("count", "count(val)", 0), ("mean", "avg(val)", None), ("first", "arg_min(val, id)", None), ("last", "arg_max(val, id)", None), ("median", "median(val)", None), ("max", "max(val)", None)):
     _sql = f"coalesce(r.value, {_e})" if _e is not None else "r.value"
     _add(f"rasterize_points_{_m}", lambda s, d, m=_m: vector.rasterize(m, _points(s, d), R.LI, "val", kinds=("point",)).df, f", r as (select xi, yi, {_s} as value from pts where xi is not null group by 1, 2) select c.xi, c.yi, {_sql} as value from li_cells c left join r using (xi, yi)", "geo_pts", "pts", "li_cells")
@@ -194,7 +196,7 @@ _add("rasterize_fold", lambda s, d: vector.rasterize("sum", R.zones(s, d), R.LI,
 _add("rasterize_stack", lambda s, d: vector.rasterize("sum", R.zones(s, d), R.LI, {"a": 3, "b": "geom_id"}, kinds=("polygon",), dense=False).df, "select xi, yi, cast(3 * count(*) as bigint) as a, cast(sum(geom_id) as bigint) as b from burned group by 1, 2", "edges", "up", "burned")
 _add("rasterize_onto", lambda s, d: vector.rasterize("sum", R.zones(s, d), R.LI, "geom_id", onto=li(s, d)["n"], kinds=("polygon",), dense=False).df, "select xi, yi, cast(coalesce(n, 0) + coalesce(s, 0) as bigint) as value from li_grid full join (select xi, yi, sum(geom_id) as s from burned group by 1, 2) r using (xi, yi)", "edges", "up", "burned", "li_grid")
 _add("boolmask_polygons", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, kinds=("polygon",)).df, "select c.xi, c.yi, count(b.geom_id) > 0 as mask from li_cells c left join burned b using (xi, yi) group by 1, 2", *_poly)
-_add("boolmask_uncollapsed", lambda s, d: vector.boolmask(R.zones(s, d).filter("geom_id > 0"), R.LI, collapse=False, kinds=("polygon",)).df, "select c.xi, c.yi, cast(g.i as int) as geometry, count(b.geom_id) > 0 as mask from li_cells c cross join range(1, 25) g(i) left join burned b on b.xi = c.xi and b.yi = c.yi and b.geom_id = g.i group by 1, 2, 3", *_poly)
+_add("boolmask_uncollapsed", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, collapse=False, kinds=("polygon",)).df, "select c.xi, c.yi, cast(g.i as int) as geometry, count(b.geom_id) > 0 as mask from li_cells c cross join (select n_nationkey as k, row_number() over (order by n_nationkey) as i from nation) g left join burned b on b.xi = c.xi and b.yi = c.yi and b.geom_id = g.k group by 1, 2, 3", *_poly)
 _ZONAL = "select z.geom_id, {0} from (select cast(n_nationkey as bigint) as geom_id from nation) z left join (select b.geom_id, l.price, l.n from burned b join li_grid l using (xi, yi)) c using (geom_id) group by 1"
 _z = ("edges", "up", "burned", "li_grid")
 for _m, _s in (("sum", "sum(price)"), ("mean", "avg(price)"), ("median", "median(price)"), ("min", "min(price)"), ("max", "max(price)")):
@@ -203,14 +205,15 @@ _add("zonal_count", lambda s, d: vector.zonal("count", li(s, d)["price"], R.zone
 _add("zonal_stack", lambda s, d: vector.zonal("sum", li(s, d), R.zones(s, d), kinds=("polygon",)), _ZONAL.format("sum(price) as price, cast(sum(n) as bigint) as n"), *_z)
 _add("zonal_emptyval", lambda s, d: vector.zonal("sum", li(s, d)["n"].of(li(s, d).df.filter("xi > 25")), R.zones(s, d), emptyval=-1, kinds=("polygon",)), "select z.geom_id, cast(coalesce(sum(case when xi > 25 then n end), -1) as bigint) as n from (select cast(n_nationkey as bigint) as geom_id from nation) z left join (select b.geom_id, xi, n from burned b join li_grid l using (xi, yi)) c using (geom_id) group by 1", *_z)
 _add("zonal_extent", lambda s, d: vector.zonal_extent("sum", li(s, d), {"X": (10.2, 20.3), "Y": (2.0, 5.0)}), "select sum(price) as price, cast(sum(n) as bigint) as n from li_grid where xi between 10 and 20 and yi between 3 and 6", "li_grid")
-_add("zonal_apply", lambda s, d: vector.zonal_apply(lambda g: g.groupby("geom_id", as_index=False).agg(n=("n", "sum")), li(s, d)["n"], R.zones(s, d), "geom_id long, n double", kinds=("polygon",)))
+_add("zonal_apply", lambda s, d: vector.zonal_apply(lambda g: g.groupby("geom_id", as_index=False).agg(n=("n", "sum")), li(s, d)["n"], R.zones(s, d), "geom_id long, n double", kinds=("polygon",)), "select geom_id, cast(sum(n) as double) as n from burned join li_grid using (xi, yi) group by 1", "edges", "up", "burned", "li_grid")
 _add("mask_geometry", lambda s, d: vector.mask(li(s, d)["n"], R.zones(s, d), kinds=("polygon",)).df, "select l.xi, l.yi, case when b.k then n end as n from li_grid l left join (select distinct xi, yi, true as k from burned) b using (xi, yi)", *_z)
 _add("mask_geometry_inverted", lambda s, d: vector.mask(li(s, d)["n"], R.zones(s, d), invert=True, kinds=("polygon",)).df, "select l.xi, l.yi, case when b.k is null then n end as n from li_grid l left join (select distinct xi, yi, true as k from burned) b using (xi, yi)", *_z)
 _FINE_BURN = "fine as (select geom_id, cast(a.i as int) as fx, cast(b.i as int) as fy from up, range(1, 45) b(i), range(1, 201) a(i) where (ys - 0.5) * 4 + 0.5 < b.i and b.i <= (ye - 0.5) * 4 + 0.5 and ((xs - 0.5) * 4 + 0.5) + (b.i - ((ys - 0.5) * 4 + 0.5)) * slope <= a.i group by 1, 2, 3 having count(*) % 2 = 1)"
 _add("coverage_sum", lambda s, d: vector.coverage(R.zones(s, d), R.LI, "sum", 4).df, f", {_FINE_BURN}, r as (select (fx - 1) // 4 + 1 as xi, (fy - 1) // 4 + 1 as yi, count(*) / 16 as coverage from fine group by 1, 2) select c.xi, c.yi, coalesce(coverage, 0.0) as coverage from li_cells c left join r using (xi, yi)", "edges", "up", "li_cells")
 _add("coverage_union", lambda s, d: vector.coverage(R.zones(s, d), R.LI, "union", 4).df, f", {_FINE_BURN}, r as (select (fx - 1) // 4 + 1 as xi, (fy - 1) // 4 + 1 as yi, count(*) / 16 as coverage from (select distinct fx, fy from fine) f group by 1, 2) select c.xi, c.yi, coalesce(coverage, 0.0) as coverage from li_cells c left join r using (xi, yi)", "edges", "up", "li_cells")
-_add("touches", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, boundary="touches", kinds=("polygon",)).df)
-_add("inside", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, boundary="inside", kinds=("polygon",)).df)
+_walked = ("edges", "up", "burned", "segs", "steps", "walk", "li_cells")
+_add("touches", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, boundary="touches", kinds=("polygon",)).df, "select c.xi, c.yi, count(b.xi) > 0 as mask from li_cells c left join (select xi, yi from burned union select xi, yi from walk) b on b.xi = c.xi and b.yi = c.yi group by 1, 2", *_walked)
+_add("inside", lambda s, d: vector.boolmask(R.zones(s, d), R.LI, boundary="inside", kinds=("polygon",)).df, "select c.xi, c.yi, count(b.xi) > 0 as mask from li_cells c left join (select geom_id, xi, yi from burned except select geom_id, xi, yi from walk) b on b.xi = c.xi and b.yi = c.yi group by 1, 2", *_walked)
 _add("missed_geometries", lambda s, d: geometry.missed(R.zones(s, d), geometry.burn(R.zones(s, d), Grid((Dim("X", 20, 1.0, 1.0), Dim("Y", 11, 0.0, 1.0))), kinds=("polygon",))).select("geom_id"), "select cast(n_nationkey as bigint) as geom_id from nation where n_nationkey not in (select geom_id from burned where xi <= 20)", "edges", "up", "burned")
 _add("sample_seeded", _on(day, lambda c: sample(c, 100, seed=1, skipmissing=True, replace=False, index=True)))
 _add("sample_weighted", _on(day, lambda c: sample(c, 100, seed=1, weights=F.col("n"), skipmissing=True)))

@@ -86,5 +86,11 @@ SQL = {
     "pts": "pts as (select id, val, x, y, case when floor(x - 0.5) + 1 between 1 and 50 and floor(y + 0.5) + 1 between 1 and 11 then cast(floor(x - 0.5) + 1 as int) end as xi, case when floor(x - 0.5) + 1 between 1 and 50 and floor(y + 0.5) + 1 between 1 and 11 then cast(floor(y + 0.5) + 1 as int) end as yi from geo_pts)",
     "edges": "edges as (select cast(k as bigint) as geom_id, cast(x0 + a1 as double) as x1, cast(y0 + b1 + 1 as double) as y1, cast(x0 + a2 as double) as x2, cast(y0 + b2 + 1 as double) as y2 from (select n_nationkey as k, 1 + (7 * n_nationkey) % 40 as x0, (3 * n_nationkey) % 8 as y0 from nation) z, (values (0.0, 0.0, 6.5, 0.75), (6.5, 0.75, 5.25, 3.5), (5.25, 3.5, -0.5, 2.25), (-0.5, 2.25, 0.0, 0.0)) e(a1, b1, a2, b2))",
     "up": "up as (select geom_id, case when y1 < y2 then x1 else x2 end as xs, least(y1, y2) as ys, greatest(y1, y2) as ye, (x2 - x1) / (y2 - y1) as slope from edges)",
+    "segs": "segs as (select cast(k as bigint) as geom_id, k * 4 + e as seg, e, x0 + a1 - 0.5 as u1, y0 + b1 + 0.5 as v1, x0 + a2 - 0.5 as u2, y0 + b2 + 0.5 as v2 from (select n_nationkey as k, cast(1 + (7 * n_nationkey) % 40 as double) as x0, cast((3 * n_nationkey) % 8 as double) as y0 from nation) z, (values (0, 0.0, 0.0, 6.5, 0.75), (1, 6.5, 0.75, 5.25, 3.5), (2, 5.25, 3.5, -0.5, 2.25), (3, -0.5, 2.25, 0.0, 0.0)) q(e, a1, b1, a2, b2))",
+    "steps": "steps as (select *, cast(-1 as double) as t, -1 as is_x from segs"
+    " union all select s.*, ((case when u2 > u1 then floor(u1) - u1 + 1 else u1 - floor(u1) end) + k.i - 1) / abs(u2 - u1), 1 from segs s, range(1, 60) k(i) where k.i <= abs(floor(u2) - floor(u1))"
+    " union all select s.*, ((case when v2 > v1 then floor(v1) - v1 + 1 else v1 - floor(v1) end) + k.i - 1) / abs(v2 - v1), 0 from segs s, range(1, 60) k(i) where k.i <= abs(floor(v2) - floor(v1)))",
+    "walk": "walk as (select geom_id, e, row_number() over w as k, cast(floor(u1) + 1 + (case when u2 < u1 then -1 else 1 end) * sum(case when is_x = 1 then 1 else 0 end) over w as int) as xi, cast(floor(v1) + 1 + (case when v2 < v1 then -1 else 1 end) * sum(case when is_x = 0 then 1 else 0 end) over w as int) as yi"
+    " from steps window w as (partition by seg order by t, is_x rows unbounded preceding))",
     "burned": "burned as (select geom_id, cast(a.i as int) as xi, cast(b.i as int) as yi from up, range(1, 12) b(i), range(1, 51) a(i) where ys < b.i and b.i <= ye and xs + (b.i - ys) * slope <= a.i group by 1, 2, 3 having count(*) % 2 = 1)",
 }

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridlake.cells import Cells, allocate, from_array, from_table, from_vector, stack
+from gridlake.cells import Cells, allocate, from_array, from_table, from_vector, grid_frame, stack
 from gridlake.grid import At, Between, Contains, Dim, Grid, Near, Not, Touches
 from gridlake.operators import aggregate as ag
 from gridlake.operators import area, geometry, join, resample, select, setops, values, vector
@@ -213,6 +213,50 @@ def test_line_walk(spark):
     assert got == {(2, 5), (2, 4), (3, 4), (3, 3), (4, 3), (4, 2), (5, 2), (5, 1)}
 
 
+def test_lines_that_leave_the_grid_are_clipped(spark):
+    """On a window of a large grid lines take the same cells as on all of it."""
+    wide = Grid((Dim("X", 400, -200.0, 1.0, sampling="intervals"), Dim("Y", 400, -200.0, 1.0, sampling="intervals")))
+    window = Grid((Dim("X", 12, -6.0, 1.0, sampling="intervals"), Dim("Y", 9, 3.0, 1.0, sampling="intervals")))
+    rnd = np.random.default_rng(3)
+    ends = [(rnd.uniform(-150, 150, 2), rnd.uniform(-150, 150, 2)) for _ in range(150)] + [((-100, 5), (100, 5)), ((0, -90), (0, 90.5)), ((-90.5, -90.5), (90.5, 90.5)), ((90, -80), (-80, 90)), ((2.25, 5.5), (-150, 7)), ((-150, 7), (2.25, 5.5)), ((1, 4), (1, 4))]
+    lines = geometry.from_rows(spark, [(k, "line", [[tuple(map(float, a)), tuple(map(float, b))]]) for k, (a, b) in enumerate(ends)])
+    all_ = {(r.geom_id, r.xi - 194, r.yi - 203) for r in geometry.burn(lines, wide, kinds=("line",)).collect()}
+    want = {(g, x, y) for g, x, y in all_ if 1 <= x <= 12 and 1 <= y <= 9}
+    assert {(r.geom_id, r.xi, r.yi) for r in geometry.burn(lines, window, kinds=("line",)).collect()} == want and len(want) > 100
+    grid = Grid((Dim("X", 10, 0.5, 1.0, sampling="intervals"), Dim("Y", 10, 0.5, 1.0, sampling="intervals")))
+    far = geometry.from_rows(spark, [(k, "line", [[(0.5, 0.5), (end, 0.6)]]) for k, end in enumerate((1e6, 3e9, 1e15))])
+    assert sorted(r["count"] for r in geometry.burn(far, grid, kinds=("line",)).groupBy("geom_id").count().collect()) == [10, 10, 10]
+
+
+def test_boolmask_of_any_ids(spark):
+    g = Grid((Dim("X", 3, 1.0, 1.0, sampling="intervals"), Dim("Y", 3, 1.0, 1.0, sampling="intervals")))
+    square = lambda x, y: [[(x - 0.4, y - 0.4), (x + 0.4, y - 0.4), (x + 0.4, y + 0.4), (x - 0.4, y + 0.4)]]
+    p = geometry.from_rows(spark, [(0, "polygon", square(1, 1)), (1, "polygon", square(2, 3)), (70, "polygon", square(3, 2)), (-5, "polygon", square(2, 2))])
+    m = vector.boolmask(p, g, collapse=False)
+    assert m.grid.dims[-1].labels == (-5, 0, 1, 70) and m.df.count() == 36
+    want = {(2, 2, 1), (1, 1, 2), (2, 3, 3), (3, 2, 4)}
+    assert {(r.xi, r.yi, r.geometry) for r in m.df.filter("mask").collect()} == want
+    assert {(r.xi, r.yi, r.geometry) for r in vector.boolmask(p, g, collapse=False, dense=False).df.collect()} == want
+    with pytest.raises(ValueError):
+        vector.boolmask(p, g, invert=True, dense=False)
+
+
+def test_interval_join_of_uneven_axes(spark):
+    bounds = ((-3.0, -2.5), (-2.5, 0.0), (0.0, 0.001), (0.001, 50.0), (60.0, 61.0))
+    dim = Dim("Y", 5, bounds=bounds, sampling="intervals")
+    values = [-9.0, -3.0, -2.5, -0.1, 0.0, 0.0005, 0.001, 49.9, 50.0, 55.0, 60.5, 61.0, 1e9, None]
+    got = {r.v: r.yi for r in join.interval_join(spark.createDataFrame([(v,) for v in values], "v double"), "v", dim).collect()}
+    assert got == {v: next((k for k, (a, b) in enumerate(bounds, 1) if v is not None and a <= v < b), None) for v in values}
+
+
+def test_draws_follow_the_weights(spark):
+    g = Grid((Dim("X", 40, 1.0, 1.0), Dim("Y", 5, 1.0, 1.0)))
+    c = Cells(grid_frame(spark, g).withColumn("w", F.when(F.col("xi") == 7, 100.0).when(F.col("xi") < 5, 0.0).otherwise(1.0)), g, ("w",))
+    drawn = sample(c, 2000, seed=3, weights=F.col("w"))
+    x = [r.geometry.x for r in drawn.collect()]
+    assert len(x) == 2000 and min(x) >= 5 and 0.70 < x.count(7) / 2000 < 0.79  # 500 of 500 + 35 * 5
+
+
 def test_rasterize_totals(spark):
     shift = lambda d: [[(x + d, y + d) for x, y in SQUARE[0]]]
     p = geometry.from_rows(spark, [(k + 1, "polygon", shift(10.0 * k)) for k in range(4)])
