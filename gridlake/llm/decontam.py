@@ -3,20 +3,25 @@
 A mask of four words ignores the places between them, so a seed survives substitutions there. The three masks together
 hit every way to have 75 % of 8 to 24 words equal (the tests try all of them), so no item that the check below accepts is
 missed. Every benchmark item's seeds (items below 6 words have one of all their words) go into sorted arrays with item
-and place; documents are hashed the same way and searched in those arrays, which is the join. The arrays are sent to the executors only up to
-a stated size; a larger benchmark is taken in blocks of items, each a pass over the documents. Around each hit, in the
-text that holds it, the words within a window's reach are compared; where enough are equal, the item is laid over the
-whole text on the hit's diagonal and words are compared one by one, so substitutions cost their words only.
+and place; documents are hashed the same way and searched in those arrays, which is the join. Tasks over the benchmark
+write the arrays as block files of bounded size to the shared folder; one pass over the documents hashes each text once
+and searches it in every block. Blocks on a local file system are mapped, so tasks of a machine share their pages; others
+are read into a cache of bounded size. Nothing of the benchmark comes to the driver but the names of the blocks. Around
+each hit, in the text that holds it, the words within a window's reach are compared; where enough are equal, the item is
+laid over the whole text on the hit's diagonal and words are compared one by one, so substitutions cost their words only.
 
 Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case. An item is in a document
 where, in some window of min(its words, 24), at least 75 % of the words agree (all of them for items below 8 words).
 
 Defined results: a null or empty text has no overlaps; null or empty items never match; rows that share an id are each
-judged and reported; further columns are ignored or kept, whatever their names; empty tables give no overlaps.
+judged and reported; a very long text or item is a slice or block by itself; of equal overlaps with an item the first
+diagonal counts; further columns are ignored or kept, whatever their names; empty tables give no overlaps.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
+from .shared import Mapped, SharedFile, new_path, pack_arrays, table, unpack_arrays
 
 # Fixed masks. Each begins and ends with a place that counts; together they hit all that WINDOW and SHARE accept.
 MASKS = ("10111", "111001", "1001011")
@@ -32,7 +38,9 @@ SHORT = 6  # an item below it is one contiguous seed
 WHOLE = 8  # an item below it must be there word for word
 WINDOW = 24
 SHARE = 0.75
-SEEDS_AT_ONCE = 1_000_000  # 24 bytes each
+SEEDS_AT_ONCE = 1_000_000  # of a block, 16 bytes each
+SLICE_BYTES = 8_000_000
+CACHED_BYTES = 64_000_000  # of blocks that cannot be mapped
 HITS_AT_ONCE = 20_000  # each is compared on some 50 words
 OVERLAP = "doc_id long, item_id long, n_equal int, n_words int, first_word int"
 
@@ -61,18 +69,35 @@ class Items:
     def __init__(self, ids: list[int], hashes: list[np.ndarray]):
         self.ids = ids
         self.size = np.array([len(h) for h in hashes], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
         self.words = np.concatenate(hashes)
-        self.width = np.minimum(self.size, WINDOW)
-        self.need = np.where(self.size < WHOLE, self.width, np.ceil(self.width * SHARE)).astype(np.int64)
-        sizes = set(self.size.tolist())
-        self.masks = [*(_places(MASKS) if max(sizes) >= SHORT else []), *(np.arange(n) for n in sorted(sizes) if n < SHORT)]
         rows = [(s, np.full(len(s), k), np.arange(len(s))) for k, h in enumerate(hashes) for mask in _masks(len(h)) for s in [_seeds(h, mask)]]
         seed = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
         order = np.argsort(seed, kind="stable")
         self.seed = seed[order]
         self.item = np.concatenate([r[1] for r in rows])[order].astype(np.int32) if rows else np.zeros(0, np.int32)
         self.place = np.concatenate([r[2] for r in rows])[order].astype(np.int32) if rows else np.zeros(0, np.int32)
+        self._derive()
+
+    ARRAYS = ("ids", "size", "words", "seed", "item", "place")
+
+    def to_bytes(self) -> bytes:
+        return pack_arrays([np.asarray(getattr(self, k), np.int64) if k == "ids" else getattr(self, k) for k in self.ARRAYS])
+
+    @classmethod
+    def from_bytes(cls, data: pa.Buffer) -> Items:
+        """Views of the bytes."""
+        self = cls.__new__(cls)
+        for name, value in zip(cls.ARRAYS, unpack_arrays(data), strict=True):
+            setattr(self, name, value)
+        self._derive()
+        return self
+
+    def _derive(self) -> None:
+        self.begin = np.cumsum(self.size) - self.size
+        self.width = np.minimum(self.size, WINDOW)
+        self.need = np.where(self.size < WHOLE, self.width, np.ceil(self.width * SHARE)).astype(np.int64)
+        sizes = set(self.size.tolist())
+        self.masks = [*(_places(MASKS) if max(sizes) >= SHORT else []), *(np.arange(n) for n in sorted(sizes) if n < SHORT)]
 
     def hits(self, w: texts.Words) -> np.ndarray:
         """Text, item and diagonal (document place less item place) of the seed hits that may be matches, each once."""
@@ -118,23 +143,42 @@ class Items:
         return (best, width) if best >= self.need[item] else None
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of a bounded number of seeds. Items come to the driver partition by partition."""
-    ids: list[int] = []
-    hashes: list[np.ndarray] = []
-    size = 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        w = texts.words(pa.array([row["text"]], pa.string()), lower=True, marks=True)
-        if row["item_id"] is None or not len(w.hashes):
-            continue
-        ids.append(row["item_id"])
-        hashes.append(w.hashes)
-        size += len(w.hashes) * len(MASKS)
-        if size >= SEEDS_AT_ONCE:
-            yield Items(ids, hashes)
-            ids, hashes, size = [], [], 0
-    if ids:
-        yield Items(ids, hashes)
+def item_blocks(benchmark: DataFrame) -> list[str]:
+    """The benchmark as files of items with their seeds, each of a bounded number of seeds or of one item."""
+    spark = benchmark.sparkSession
+    folder = new_path(spark, "benchmark-seeds")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        hashes: list[np.ndarray] = []
+        size, names = 0, []
+
+        def write() -> None:
+            file = SharedFile(f"{folder}/seeds-{uuid.uuid4().hex}.bin")
+            file.stream.write(Items(ids, hashes).to_bytes())
+            file.close()
+            names.append(f"{folder}/{os.path.basename(file.path)}")
+
+        for batch in batches:
+            for part, values in texts.text_slices(batch, "text", 1_000_000):
+                w = texts.words(values, lower=True, marks=True)
+                for k, item_id in enumerate(part.column(0).to_pylist()):
+                    own = w.hashes[w.first[k] : w.first[k + 1]]
+                    if item_id is None or not len(own):
+                        continue
+                    ids.append(item_id)
+                    hashes.append(own)
+                    size += len(own) * len(MASKS)
+                    if size >= SEEDS_AT_ONCE:
+                        write()
+                        ids, hashes, size = [], [], 0
+        if ids:
+            write()
+        yield pa.record_batch([pa.array(names, pa.string())], names=["file"])
+
+    # Whole blocks from few tasks: Spark packs small files together, and a benchmark's partitions are few.
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return sorted(r["file"] for r in table(rows.hint("rebalance").mapInArrow(store, "file string"), "benchmark-blocks").collect())
 
 
 def _judge(items: Items, w: texts.Words) -> list[tuple[int, int, int, int, int]]:
@@ -150,39 +194,37 @@ def _judge(items: Items, w: texts.Words) -> list[tuple[int, int, int, int, int]]
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that it contains."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = spark.createDataFrame([], OVERLAP)
-    for block in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            for batch in batches:
-                for part, values in texts.text_slices(batch, "text", 8_000_000):
-                    rows = _judge(items, texts.words(values, lower=True, marks=True))
+    blocks = item_blocks(benchmark)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = Mapped(Items.from_bytes, CACHED_BYTES)
+        for batch in batches:
+            for part, values in texts.text_slices(batch, "text", SLICE_BYTES):
+                w = texts.words(values, lower=True, marks=True)
+                ids = part.column(0).to_pylist()
+                for name in blocks:
+                    items = opened[name]
+                    rows = _judge(items, w)
                     if rows:
-                        ids = part.column(0).to_pylist()
-                        columns = list(zip(*((ids[t], items.ids[i], n, of, at) for t, i, n, of, at in rows), strict=True))
+                        columns = list(zip(*((ids[t], int(items.ids[i]), n, of, at) for t, i, n, of, at in rows), strict=True))
                         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_equal", "n_words", "first_word"])
 
-        out = out.unionByName(source.mapInArrow(find, OVERLAP))
-    return out
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, OVERLAP)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns."""
-    spark = docs.sparkSession
-    for block in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, values in texts.text_slices(batch, "text", 8_000_000):
-                    good = np.ones(part.num_rows, bool)
-                    good[[r[0] for r in _judge(sent.value, texts.words(values, lower=True, marks=True))]] = False
-                    yield part.filter(pa.array(good))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    blocks = item_blocks(benchmark)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = Mapped(Items.from_bytes, CACHED_BYTES)
+        for batch in batches:
+            for part, values in texts.text_slices(batch, "text", SLICE_BYTES):
+                w = texts.words(values, lower=True, marks=True)
+                good = np.ones(part.num_rows, bool)
+                for name in blocks:
+                    good[[r[0] for r in _judge(opened[name], w)]] = False
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)

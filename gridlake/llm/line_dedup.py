@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .shared import SharedFile, filesystem, new_path, spent, table
+from .shared import Mapped, SharedFile, new_path, pack_arrays, spent, table, unpack_arrays
 
 KEYS_A_SHARD = 500_000  # about 5 MB
 GATHERED_BYTES = 32_000_000  # of texts, for which each shard is probed once
@@ -157,7 +157,7 @@ def _joint(key: np.ndarray, mark: np.ndarray, salt: int) -> np.ndarray:
 
 
 def shard_bytes(key: np.ndarray, mark: np.ndarray, n: np.ndarray, last: np.ndarray, least_docs: int) -> bytes:
-    """A shard's arrays: sizes, levels, fingerprints in two parts, counts, and the ids of keys with least_docs documents."""
+    """A shard's arrays: salt, fingerprints in two parts, counts, ids of keys with least_docs documents, and the levels."""
     made = None
     for salt in range(64):
         joint = _joint(key, mark, salt)
@@ -170,29 +170,16 @@ def shard_bytes(key: np.ndarray, mark: np.ndarray, n: np.ndarray, last: np.ndarr
     order[made(joint)] = np.arange(len(key))
     kind = _count_type(least_docs)
     mark, n, last = mark[order], np.minimum(n[order], np.iinfo(kind).max).astype(kind), last[order]
-    head = np.array([len(key), salt, len(made.levels), *(len(x) for x in made.levels)], np.int64)
-    parts = [head, *made.levels, last[n >= least_docs], (mark & np.uint64(0xFFFFFFFF)).astype(np.uint32), (mark >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16), n]
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+    arrays = [np.array([salt]), (mark & np.uint64(0xFFFFFFFF)).astype(np.uint32), (mark >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16), n, last[n >= least_docs]]
+    return pack_arrays([*arrays, *made.levels])
 
 
 class Shard:
     """One shard's arrays, as views of its file's bytes."""
 
     def __init__(self, data: pa.Buffer, least_docs: int):
-        head = np.frombuffer(data, np.int64, 3)
-        n, self.salt = int(head[0]), int(head[1])
-        sizes = np.frombuffer(data, np.int64, int(head[2]), 24)
-        at = 24 + 8 * len(sizes)
-        levels = []
-        for size in sizes.tolist():
-            levels.append(np.frombuffer(data, np.uint64, size, at))
-            at += 8 * size
-        self.hash = MinimalPerfectHash(levels)
-        kind = _count_type(least_docs)
-        ends = len(data) - (6 + kind.itemsize) * n
-        self.last = np.frombuffer(data, np.int64, (ends - at) // 8, at)
-        self.low, self.high = np.frombuffer(data, np.uint32, n, ends), np.frombuffer(data, np.uint16, n, ends + 4 * n)
-        self.n = np.frombuffer(data, kind, n, ends + 6 * n)
+        salt, self.low, self.high, self.n, self.last, *levels = unpack_arrays(data)
+        self.salt, self.hash = int(salt[0]), MinimalPerfectHash(levels)
         self.places = np.cumsum(self.n >= least_docs, dtype=np.uint32)  # of often repeated keys, in last
 
     def probe(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,28 +196,6 @@ class Shard:
         return n, last
 
 
-class Shards:
-    """The shards of a directory (number: file), opened when they are first probed."""
-
-    def __init__(self, directory: dict[int, str], least_docs: int):
-        self.directory, self.least_docs = directory, least_docs
-        self.open: dict[int, tuple[Shard, int]] = {}
-        self.size = 0
-
-    def __getitem__(self, number: int) -> Shard:
-        if number not in self.open:
-            files, path = filesystem(self.directory[number])
-            mapped = files.type_name == "local"
-            source = pa.memory_map(path) if mapped else files.open_input_file(path)
-            data = source.read_buffer()
-            held = 0 if mapped else len(data)
-            while self.size + held > CACHED_BYTES and self.open:
-                self.size -= self.open.pop(next(iter(self.open)))[1]
-            self.open[number] = Shard(data, self.least_docs), held
-            self.size += held
-        return self.open[number][0]
-
-
 def build(keys: DataFrame, folder: str, shards: int, least_docs: int) -> DataFrame:
     """Write the shards' arrays for rows (key, mark, n, last). Returns the directory: shard, file, n_keys."""
 
@@ -286,7 +251,7 @@ def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, dige
     spent(repeated)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = Shards(directory, least_docs)
+        opened = Mapped(lambda data: Shard(data, least_docs), CACHED_BYTES)
         for held in _gathered(batches, least_chars):
             key, mark = (np.concatenate([getattr(x, k) for *_, x in held]) for k in ("key", "check"))
             which = (key >> np.uint64(33)) % np.uint64(shards)
@@ -295,7 +260,7 @@ def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, dige
             for rows in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(key) else ():
                 s = int(which[rows[0]])
                 if s in directory:
-                    n[rows], last[rows] = opened[s].probe(key[rows], mark[rows])
+                    n[rows], last[rows] = opened[directory[s]].probe(key[rows], mark[rows])
             often = n >= least_docs
             done = 0
             for part, values, ids, x in held:

@@ -8,10 +8,13 @@ then renamed, so a task that runs twice leaves the same file.
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +98,44 @@ class SharedFile:
         self.files.move(self.part, self.path)
 
 
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers as bytes, each at a multiple of 8; unpack_arrays gives views of them."""
+    head = json.dumps([[x.dtype.str, len(x)] for x in arrays]).encode()
+    padded = lambda x: x + bytes(-len(x) % 8)
+    return b"".join([np.int64(len(head)).tobytes(), padded(head), *(padded(np.ascontiguousarray(x).tobytes()) for x in arrays)])
+
+
+def unpack_arrays(data: pa.Buffer) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at, out = 8 + n + -n % 8, []
+    for kind, count in json.loads(bytes(data.slice(8, n))):
+        out.append(np.frombuffer(data, kind, count, at))
+        at += out[-1].nbytes + -out[-1].nbytes % 8
+    return out
+
+
+class Mapped:
+    """Shared files by URI, opened as what make() gives for their bytes. Local files are mapped, so that processes of a
+    machine share their pages; others are held up to a number of bytes, the oldest going first."""
+
+    def __init__(self, make, most_bytes: int):
+        self.make, self.most_bytes = make, most_bytes
+        self.open: dict[str, tuple[object, int]] = {}
+        self.size = 0
+
+    def __getitem__(self, uri: str):
+        if uri not in self.open:
+            files, path = filesystem(uri)
+            mapped = files.type_name == "local"
+            data = (pa.memory_map(path) if mapped else files.open_input_file(path)).read_buffer()
+            held = 0 if mapped else len(data)
+            while held and self.size + held > self.most_bytes and self.open:
+                self.size -= self.open.pop(next(iter(self.open)))[1]
+            self.open[uri] = self.make(data), held
+            self.size += held
+        return self.open[uri][0]
+
+
 def width(spark: SparkSession, at_least: int = 1) -> int:
     """The session's shuffle partitions, or more."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

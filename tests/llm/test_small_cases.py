@@ -552,6 +552,34 @@ def test_periodic_substitutions_are_found():
             assert judged([" ".join(item)], ["before it", " ".join(near), "after it"]) == ([(1, 0)] if equal >= 0.75 * n or n > 24 else [])
 
 
+def windows_that_agree(item, doc):
+    """Whether some window of the item is in the document, by comparing all of them on all diagonals."""
+    n = min(len(item), decontam.WINDOW)
+    need = n if len(item) < decontam.WHOLE else -(-3 * n // 4)
+    for d in range(1 - len(item), len(doc)):
+        equal = [0 <= d + k < len(doc) and doc[d + k] == w for k, w in enumerate(item)]
+        if any(sum(equal[k : k + n]) >= need for k in range(len(item) - n + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 7, 8, 9, 11, 13, 16, 19, 20, 23, 24, 25, 31, 40, 60])
+def test_overlaps_equal_all_windows_at_the_limit(n):
+    rnd = random.Random(n)
+    items, docs = [], []
+    for _ in range(40):
+        item = [f"i{rnd.randrange(10**6)}" for _ in range(n)]
+        near, at, width = list(item), rnd.randint(0, n - min(n, 24)), min(n, 24)
+        for k in rnd.sample(range(at, at + width), rnd.choice([width // 4, width // 4, width // 4 + 1])):
+            near[k] = "x"
+        for k in (k for k in range(n) if not at <= k < at + width):
+            near[k] = item[k] if rnd.random() < 0.5 else "y"
+        items.append(item)
+        docs.append([f"a{rnd.randrange(50)}" for _ in range(rnd.randint(0, 30))] + near + ["b"] * rnd.randint(0, 3))
+    want = {(t, i) for t, d in enumerate(docs) for i, x in enumerate(items) if windows_that_agree(x, d)}
+    assert set(judged([" ".join(x) for x in items], [" ".join(d) for d in docs])) == want
+
+
 def test_an_inner_excerpt_is_found_in_its_own_text():
     for n, length, inner in ((120, 55, 24), (200, 80, 40), (400, 150, 100)):
         item = [f"w{k}" for k in range(n)]
