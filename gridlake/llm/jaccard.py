@@ -48,7 +48,8 @@ COMMON = 2048  # sets of the corpus
 TILE_SETS, TILE_BYTES = 1024, 16_000_000
 BLOCK_SETS = 512
 ENTRIES_A_TASK = 1_500_000
-DEALT_AT_ONCE = 1_000_000  # entries that a task gathers before it deals them out
+DEALT_AT_ONCE = 300_000  # entries that a task gathers before it deals them out
+SLICE_BYTES = 4_000_000  # of texts whose shingles are in memory at once
 FILTER_BITS = 1 << 26
 _EVEN = np.uint64((1 << 64) - 2)
 _ODD = np.uint64(1)
@@ -92,7 +93,7 @@ def set_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, values in texts.text_slices(batch, "text", 8_000_000):
+            for part, values in texts.text_slices(batch, "text", SLICE_BYTES):
                 s = Sets(values)
                 yield pa.record_batch([part.column(0), pa.array(s.name.view(np.int64)), pa.array(s.size), pa.array(s.counted)], names=["doc_id", "set", "n", "m"])
 
@@ -123,7 +124,7 @@ def _entries(docs: DataFrame, parts: int) -> DataFrame:
         names: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for _, values in texts.text_slices(batch, "text", 8_000_000):
+            for _, values in texts.text_slices(batch, "text", SLICE_BYTES):
                 s = Sets(values)
                 _, one = np.unique(s.name, return_index=True)
                 fresh = np.zeros(len(s.name), bool)
@@ -258,7 +259,7 @@ def _arrays(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part, values in texts.text_slices(batch, "text", 8_000_000):
+            for part, values in texts.text_slices(batch, "text", SLICE_BYTES):
                 s = Sets(values)
                 each = [s.hashes[a:b] for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
                 # Rows that share an id may have other texts, or the same one again.
@@ -545,7 +546,7 @@ def with_set(rows: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, values in texts.text_slices(batch, "text", 8_000_000):
+            for part, values in texts.text_slices(batch, "text", SLICE_BYTES):
                 s = Sets(values)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.name.view(np.int64), mask=s.size == 0)], names=[*part.schema.names, name])
 
