@@ -6,11 +6,13 @@ longer character is below 0x80. Nulls are taken as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _MARKS = _SPACE.copy()
@@ -139,6 +141,14 @@ def code_points(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return sums[end] - sums[begin]
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers serve one operator after another; without this each keeps the most that
+    any of them had."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_slices(batch: pa.RecordBatch, column_name: str, most_bytes: int = 16_000_000):
     """The batch in slices whose texts hold about most_bytes, so that work arrays stay small."""
     texts = column(batch.column(batch.schema.get_field_index(column_name)))
@@ -148,3 +158,4 @@ def text_slices(batch: pa.RecordBatch, column_name: str, most_bytes: int = 16_00
         j = max(k + 1, int(np.searchsorted(at, at[k] + most_bytes, "right")) - 1)
         yield batch.slice(k, j - k), texts.slice(k, j - k)
         k = j
+    give_back()
