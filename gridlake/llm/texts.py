@@ -7,12 +7,14 @@ longer character is below 0x80. Nulls are taken as empty texts.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+KEPT: list[Callable[[], None]] = []  # called before a worker's memory is given back
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _MARKS = _SPACE.copy()
@@ -142,8 +144,10 @@ def code_points(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def give_back() -> None:
-    """Return freed memory to the system. Workers serve one operator after another; without this each keeps the most that
-    any of them had."""
+    """Return freed memory to the system, and what other operators keep. Workers serve one operator after another; without
+    this each keeps the most that any of them had."""
+    for forget in KEPT:
+        forget()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

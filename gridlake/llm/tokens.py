@@ -16,6 +16,8 @@ import struct
 import numpy as np
 import regex
 
+from .texts import KEPT
+
 CACHE_CHUNKS = 400_000
 _RUN = re.compile(r" \s")
 # Fixed values of the byte-level scheme: the split pattern, and a byte shown as itself where it is printable, else as
@@ -92,6 +94,14 @@ class Encoder:
         return out
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.chunks = _Chunks(e, {})
+
+
+KEPT.append(_forget)  # operators that cut texts in slices do not encode
+
+
 def encoder(path: str, end_id: int) -> Encoder:
     """One encoder a process for each path and end id."""
     key = f"{path}:{end_id}"
