@@ -155,6 +155,7 @@ def give_back() -> None:
 
 def text_slices(batch: pa.RecordBatch, column_name: str, most_bytes: int = 16_000_000):
     """The batch in slices whose texts hold about most_bytes, so that work arrays stay small."""
+    give_back()
     texts = column(batch.column(batch.schema.get_field_index(column_name)))
     _, at = buffers(texts)
     k = 0
