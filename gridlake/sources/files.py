@@ -96,6 +96,8 @@ def source_class(form: type[Format]) -> type[DataSource]:
 
         def partitions(self) -> list[Strip]:
             step = max(1, STRIP_CELLS // self.head.nx)
+            block = self.head.more.get("rows", 1)
+            step = max(step - step % block, 1)  # whole blocks, where a strip holds any
             return [Strip(b, k, min(self.head.ny, k + step)) for b in range(self.head.bands) for k in range(0, self.head.ny, step)]
 
         def read(self, partition: Strip) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""File formats: GRD (.grd and .gri), ASCII grid (.asc), uncompressed GeoTIFF (.tif), Zarr 2 (.zarr), classic NetCDF (.nc)."""
+"""File formats: GRD (.grd and .gri), ASCII grid (.asc), GeoTIFF (.tif), Zarr 2 (.zarr), classic NetCDF (.nc)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import numpy as np
 
 from ..cells import Cells
 from .files import Format, Header, dense_array, open_file, read_range, read_text
+from .tiff import GeoTiff
 
 # Names of types in GRD headers.
 GRD_TYPES = {"LOG1S": "b1", "INT1S": "i1", "INT2S": "i2", "INT4S": "i4", "INT8S": "i8", "INT1U": "u1", "INT2U": "u2", "INT4U": "u4", "INT8U": "u8", "FLT4S": "f4", "FLT8S": "f8"}
@@ -101,70 +102,6 @@ class AsciiGrid(Format):
             f.writelines(" ".join(repr(float(v)) for v in row) + "\n" for row in array)
 
 
-class GeoTiff(Format):
-    """Uncompressed strips, one file, north up. Other files need a library that is not here."""
-
-    name, extensions = "gridlake_tif", (".tif", ".tiff")
-
-    @staticmethod
-    def header(path: str) -> Header:
-        with open_file(path) as f:
-            head = f.read(8)
-            end = {b"II": "<", b"MM": ">"}[head[:2]]
-            if struct.unpack(end + "H", head[2:4])[0] != 42:
-                raise ValueError(f"{path} is no TIFF")
-            at = struct.unpack(end + "I", head[4:])[0]
-            tags = {}
-            sizes = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
-            for k in range(struct.unpack(end + "H", f.read_at(2, at))[0]):
-                tag, kind, n, value = struct.unpack(end + "HHI4s", f.read_at(12, at + 2 + 12 * k))
-                if kind not in sizes:
-                    continue
-                form = end + (f"{n}s" if kind == 2 else f"{n}{sizes[kind]}")
-                size = struct.calcsize(form)
-                data = value[:size] if size <= 4 else f.read_at(size, struct.unpack(end + "I", value)[0])
-                tags[tag] = struct.unpack(form, data)
-        if tags.get(259, (1,))[0] != 1 or 322 in tags:
-            raise ValueError(f"{path}: only uncompressed strips can be read")
-        bits, bands = tags[258][0], tags.get(277, (1,))[0]
-        kind = np.dtype(end + {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(bits // 8))
-        (sx, sy, _), (i, j, _, x, y, _) = tags[33550], tags[33922]
-        missing = tags.get(42113)
-        more = {"offsets": tags[273], "rows": tags.get(278, (tags[257][0],))[0], "planar": tags.get(284, (1,))[0], "bands": bands}
-        return Header(tags[256][0], tags[257][0], bands, kind, (x - i * sx, sx), (y + j * sy - sy, -sy), float(missing[0].split(b"\0")[0]) if missing else None, more=more)
-
-    @staticmethod
-    def rows(path: str, h: Header, band: int, low: int, high: int) -> np.ndarray:
-        per, mixed = h.more["rows"], h.more["planar"] == 1 and h.bands > 1
-        row = h.nx * h.kind.itemsize * (h.bands if mixed else 1)
-        strips = -(-h.ny // per)
-        out = []
-        with open_file(path) as f:
-            for k in range(low // per, -(-high // per)):
-                a, b = max(low, k * per), min(high, (k + 1) * per)
-                start = h.more["offsets"][k + (0 if mixed else band * strips)]
-                out.append(np.frombuffer(f.read_at((b - a) * row, start + (a - k * per) * row), h.kind).reshape(b - a, h.nx, -1)[:, :, band if mixed else 0])
-        return np.concatenate(out)
-
-    @staticmethod
-    def write(cells: Cells, path: str, layer: str | None = None, missing: float = -9999.0) -> None:
-        x, y = cells.grid["X"], cells.grid["Y"]
-        array = dense_array(cells, layer or cells.layers[0], np.dtype("<f8"), missing)
-        array = array[::-1] if y.step > 0 else array
-        data = np.ascontiguousarray(array[:, ::-1] if x.step < 0 else array).tobytes()
-        text = repr(missing).encode() + b"\0"
-        scale, tie = (abs(x.step), abs(y.step), 0.0), (0.0, 0.0, 0.0, x.extent()[0], y.extent()[1], 0.0)
-        extra = struct.pack("<3d", *scale) + struct.pack("<6d", *tie) + text
-        entries = [(256, 4, 1, x.n), (257, 4, 1, y.n), (258, 3, 1, 64), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, y.n), (279, 4, 1, len(data)), (339, 3, 1, 3)]
-        ifd = 8 + len(data)
-        after = ifd + 2 + 12 * (len(entries) + 3) + 4
-        entries += [(33550, 12, 3, after), (33922, 12, 6, after + 24), (42113, 2, len(text), after + 72)]
-        with open(path, "wb") as f:
-            f.write(b"II" + struct.pack("<HI", 42, ifd) + data + struct.pack("<H", len(entries)))
-            f.writelines(struct.pack("<HHII", *e) for e in entries)
-            f.write(struct.pack("<I", 0) + extra)
-
-
 class Zarr(Format):
     """A group of two- or three-dimensional arrays (band, y, x) with x and y arrays; chunks plain or zlib."""
 

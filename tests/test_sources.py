@@ -148,3 +148,87 @@ def test_streaming_rollup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rolled").agg(F.sum("value"), F.count("*")).first() == (100, 6)
+
+
+def _tiff(path, blocks, tags):
+    """A big-endian TIFF by hand: blocks, then its directory."""
+    import struct
+
+    data, places = b"", []
+    for b in blocks:
+        places.append((8 + len(data), len(b)))
+        data += b + b"\0" * (-len(b) % 8)
+    start = 8 + len(data)
+    named = {"offsets": ("I", [p for p, _ in places]), "sizes": ("I", [n for _, n in places])}
+    tags = {tags[k] if k in named else k: named.get(k, v) for k, v in tags.items()}
+    after, entries, extra = start + 2 + 12 * len(tags) + 4, b"", b""
+    for tag in sorted(tags):
+        form, v = tags[tag]
+        raw = struct.pack(f">{len(v)}{form}", *v)
+        if len(raw) > 4:
+            raw, extra = struct.pack(">I", after + len(extra)), extra + raw
+        entries += struct.pack(">HHI4s", tag, {"H": 3, "I": 4, "d": 12}[form], len(v), raw)
+    path.write_bytes(b"MM" + struct.pack(">HI", 42, start) + data + struct.pack(">H", len(tags)) + entries + struct.pack(">I", 0) + extra)
+
+
+PLACE = {33550: ("d", [1.0, 1.0, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, 10.0, 5.0, 0.0])}
+
+
+@pytest.mark.parametrize("compression", [1, 8, 50000])
+def test_tiff_tiles_with_differences(spark, tmp_path, compression):
+    import zlib
+
+    import pyarrow as pa
+
+    a = np.random.default_rng(1).integers(-3000, 3000, (21, 35)).astype(">i2")
+    packed = {1: bytes, 8: zlib.compress, 50000: lambda b: pa.Codec("zstd").compress(b).to_pybytes()}[compression]
+    blocks = []
+    for j in range(0, 21, 16):
+        for i in range(0, 35, 16):
+            part = np.zeros((16, 16), ">i2")
+            piece = a[j : j + 16, i : i + 16]
+            part[: piece.shape[0], : piece.shape[1]] = piece
+            blocks.append(packed(np.diff(part.astype(np.int64), axis=1, prepend=0).astype(">i2").tobytes()))
+    tags = {256: ("I", [35]), 257: ("I", [21]), 258: ("H", [16]), 259: ("H", [compression]), 277: ("H", [1]), 317: ("H", [2]), 322: ("H", [16]), 323: ("H", [16]), 339: ("H", [2]), "offsets": 324, "sizes": 325}
+    _tiff(tmp_path / "t.tif", blocks, {**tags, **PLACE, 34735: ("H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 3857])})
+    c = io.read(spark, str(tmp_path / "t.tif"))
+    assert np.array_equal(np.array(array(c), int).T, a) and c.grid.crs == "EPSG:3857"
+    assert c.grid.extent() == {"X": (10.0, 45.0), "Y": (-16.0, 5.0)}
+
+
+def test_tiff_strips_with_byte_planes_and_mixed_bands(spark, tmp_path):
+    import zlib
+
+    a = np.random.default_rng(2).normal(size=(5, 7, 2)).astype(">f4")
+    blocks = []
+    for low in range(0, 5, 2):
+        rows = a[low : low + 2]
+        planes = np.frombuffer(rows.tobytes(), np.uint8).reshape(len(rows), 14, 4).transpose(0, 2, 1).reshape(len(rows), -1, 2)
+        blocks.append(zlib.compress(np.diff(planes.astype(int), axis=1, prepend=0).astype(np.uint8).tobytes()))
+    tags = {256: ("I", [7]), 257: ("I", [5]), 258: ("H", [32, 32]), 259: ("H", [8]), 277: ("H", [2]), 278: ("I", [2]), 284: ("H", [1]), 317: ("H", [3]), 339: ("H", [3, 3]), "offsets": 273, "sizes": 279}
+    _tiff(tmp_path / "s.tif", blocks, {**tags, **PLACE, 34735: ("H", [1, 1, 0, 1, 1025, 0, 1, 2])})
+    c = io.read(spark, str(tmp_path / "s.tif"))
+    assert np.array_equal(np.array(array(c), np.float32).transpose(1, 0, 2), a)
+    assert c.grid.extent()["X"] == (9.5, 16.5) and c.grid.extent()["Y"] == (0.5, 5.5)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("bands", [1, 3])
+def test_tiff_is_written_in_tiles(spark, tmp_path, monkeypatch, wide, bands):
+    from gridlake.cells import Cells
+    from gridlake.sources import tiff
+
+    if wide:
+        monkeypatch.setattr(tiff, "CLASSIC_BYTES", 0)
+    dims = [Dim("X", 70, 10.0, 0.5, sampling="intervals", locus="start", crs="EPSG:4326"), Dim("Y", 40, 0.0, 0.25, sampling="intervals", locus="start", crs="EPSG:4326")]
+    grid = Grid((*dims, *([Dim("Band", bands)] if bands > 1 else [])))
+    df = spark.range(2800 * bands).selectExpr("cast(id % 70 + 1 as int) as xi", "cast(floor(id / 70) % 40 + 1 as int) as yi", "cast(floor(id / 2800) + 1 as int) as band", "id * 1.5D as v")
+    cells = Cells(df.filter("xi > 20 and yi <> 7").select(*grid.columns, "v"), grid, ("v",))
+    path = str(tmp_path / "w.tif")
+    tiff.GeoTiff.write(cells, path, tile=16)
+    back = io.read(spark, path)
+    assert back.grid.crs == "EPSG:4326" and back.grid.extent() == grid.extent()
+    key = grid.columns
+    want = {tuple(r) for r in cells.df.withColumn("yi", F.expr("41 - yi")).select(*key, "v").collect()}
+    assert {tuple(r) for r in back.df.filter("value is not null").select(*key, "value").collect()} == want
+    assert back.df.count() == 2800 * bands  # tiles without cells are missing
