@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import Dim, Grid
+from .join import located
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -134,7 +135,8 @@ def burn_lines(geoms: DataFrame, grid: Grid, carry: list[str], closed: bool = Fa
 def burn_points(geoms: DataFrame, grid: Grid, carry: list[str], atol: float = 0.0) -> DataFrame:
     """The cell of each point; points off the grid have none."""
     p = geoms.select("geom_id", *carry, F.explode(F.flatten("rings")).alias("p"))
-    return p.select("geom_id", *carry, grid["X"].index_column(F.col("p.x"), atol).alias("xi"), grid["Y"].index_column(F.col("p.y"), atol).alias("yi")).dropna("any", subset=["xi", "yi"])
+    at = located(located(p, F.col("p.x"), grid["X"], atol), F.col("p.y"), grid["Y"], atol)
+    return at.select("geom_id", *carry, "xi", "yi").dropna("any", subset=["xi", "yi"])
 
 
 def within(geoms: DataFrame, grid: Grid) -> DataFrame:
@@ -145,8 +147,17 @@ def within(geoms: DataFrame, grid: Grid) -> DataFrame:
     return geoms.filter((side(F.array_max, "x") >= e["X"][0]) & (side(F.array_min, "x") <= e["X"][1]) & (side(F.array_max, "y") >= e["Y"][0]) & (side(F.array_min, "y") <= e["Y"][1]))
 
 
+def only_points(geoms: DataFrame, grid: Grid) -> DataFrame:
+    """On an irregular axis, which only points can be burned on, another kind is an error; on regular ones nothing is."""
+    if grid["X"].regular and grid["Y"].regular:
+        return geoms
+    wrong = F.raise_error(F.lit("lines and polygons need regular axes")).cast("boolean")
+    return geoms.filter(F.when(F.col("kind") == "point", F.lit(True)).otherwise(wrong))
+
+
 def burn(geoms: DataFrame, grid: Grid, carry: list[str] | None = None, boundary: str = "center", shape: str | None = None, kinds: tuple[str, ...] = ("point", "line", "polygon"), atol: float = 0.0) -> DataFrame:
-    """The cells of each line and polygon, each once, and of each point: geom_id, carry, xi, yi.
+    """The cells of each line and polygon, each once, and of each point: geom_id, carry, xi, yi. On an irregular
+    axis only points can be burned.
 
     shape burns every geometry as that kind. kinds: those that occur, where the caller knows. boundary of polygons:
     center, touches (also the cells of their edges) or inside (without those); with points sampling only center has a
@@ -157,6 +168,8 @@ def burn(geoms: DataFrame, grid: Grid, carry: list[str] | None = None, boundary:
     carry = carry or []
     if shape:
         geoms, kinds = geoms.withColumn("kind", F.lit(shape)), (shape,)
+    if not (grid["X"].regular and grid["Y"].regular):
+        return burn_points(only_points(geoms, grid), grid, carry, atol)
     parts = []
     for kind in kinds:
         own = geoms.filter(F.col("kind") == kind)

@@ -48,7 +48,7 @@ def in_buckets(ranges: DataFrame, low: str, high: str, first: float, last: float
     range without comparing it with all.
     """
     size = (last - first) / n or 1.0
-    bucket = lambda c: F.least(F.lit(n), F.greatest(F.lit(-1), F.floor((c - first) / size))).cast("long")
+    bucket = lambda c: F.when(c.isNotNull(), F.least(F.lit(n), F.greatest(F.lit(-1), F.floor((c - first) / size))).cast("long"))
     return ranges.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high))))), bucket
 
 
@@ -60,16 +60,46 @@ def interval_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:
     return df.withColumn("_at", bucket(F.col(value))).join(cells, (F.col("_at") == F.col("_bucket")) & inside, "left").drop("_at", "_bucket", "coord", "lo", "hi")
 
 
-def nearest_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:
-    """The cell nearest to a value; of two as near, the lower index. Ends catch all beyond them."""
+def located(df: DataFrame, value: Column, dim: Dim, atol: float = 0.0) -> DataFrame:
+    """The cell of a coordinate, as the axis's column: the cell that contains it on intervals, the equal point (within
+    atol) on points, else null. An irregular axis is joined by buckets, a regular one is arithmetic."""
     if dim.regular:
-        x = F.ceil((F.col(value) - F.lit(float(dim.coord(1)))) / F.lit(float(dim.step)) + 0.5)
-        return df.withColumn(dim.column, F.least(F.lit(dim.n), F.greatest(F.lit(1), x)).cast("int"))
-    mids = [(dim.coord(i) + dim.coord(i + 1)) / 2 for i in range(1, dim.n)]
-    edges = sorted(mids)
-    rank = F.size(F.filter(F.array(*(F.lit(float(m)) for m in edges)) if edges else F.array().cast("array<double>"), lambda m: m < F.col(value)))
+        return df.withColumn(dim.column, dim.index_column(value, atol))
+    at = df.withColumn("_value", value.cast("double"))
+    if dim.sampling == "intervals":
+        return interval_join(at, "_value", dim).drop("_value")
+    found = _nearest(at, "_value", dim)
+    near = F.abs(F.col("_value") - F.col("_coord")) <= F.lit(float(atol))
+    return found.withColumn(dim.column, F.when(near, F.col(dim.column))).drop("_value", "_coord")
+
+
+def _nearest(df: DataFrame, value: str, dim: Dim) -> DataFrame:
+    """The cell of an irregular axis that is nearest to a value, with its coordinate as _coord. The axis is a table."""
     by_coord = sorted(range(1, dim.n + 1), key=dim.coord)
-    return df.withColumn(dim.column, F.element_at(F.array(*(F.lit(i) for i in by_coord)), rank + 1))
+    x = [float(dim.coord(i)) for i in by_coord]
+    mids = [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)]
+    # Cells reach from one middle to the next; a value beyond the outer coordinates counts as the nearer of them.
+    rows = list(zip(by_coord, x, [x[0], *mids], [*mids, x[-1]], strict=True))
+    axis = df.sparkSession.createDataFrame(rows, f"{dim.column} int, _coord double, _lo double, _hi double")
+    cells, bucket = in_buckets(axis, "_lo", "_hi", x[0], x[-1], dim.n)
+    v, low, high, i = F.col("_near"), F.col("_lo"), F.col("_hi"), F.col(dim.column)
+    # A middle is as near to both cells; the lower index has it, which on a falling axis is the greater coordinate.
+    if by_coord[0] <= by_coord[-1]:
+        inside = ((v > low) & (v <= high)) | ((v == x[0]) & (i == by_coord[0]))
+    else:
+        inside = ((v >= low) & (v < high)) | ((v == x[-1]) & (i == by_coord[-1]))
+    clamped = F.least(F.lit(x[-1]), F.greatest(F.lit(x[0]), F.col(value).cast("double")))
+    at = df.drop(dim.column).withColumn("_near", F.when(F.col(value).isNotNull(), clamped)).withColumn("_at", bucket(v))
+    return at.join(cells, (F.col("_at") == F.col("_bucket")) & inside, "left").drop("_near", "_at", "_bucket", "_lo", "_hi")
+
+
+def nearest_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:
+    """The cell nearest to a value; of two as near, the lower index. Ends catch all beyond them; null has none. A
+    regular axis is arithmetic, another one is joined by buckets of its coordinates."""
+    if not dim.regular:
+        return _nearest(df, value, dim).drop("_coord")
+    x = F.ceil((F.col(value) - F.lit(float(dim.coord(1)))) / F.lit(float(dim.step)) + 0.5)
+    return df.withColumn(dim.column, F.when(F.col(value).isNotNull(), F.least(F.lit(dim.n), F.greatest(F.lit(1), x)).cast("int")))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, by: list[str], value: str) -> DataFrame:

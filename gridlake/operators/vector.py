@@ -13,6 +13,7 @@ from ..cells import Cells
 from ..functions.reducers import REDUCERS, fold, reduce_column
 from ..grid import Dim, Grid
 from . import geometry
+from .join import located
 from .join import mask as mask_by
 from .select import crop
 
@@ -121,16 +122,18 @@ def extract(
     flat = Grid((cells.grid["X"], cells.grid["Y"]))
     x, y = flat["X"], flat["Y"]
     extra = [c for c in cells.columns if c not in ("xi", "yi")]
-    p = geoms.filter("kind = 'point'").select("geom_id", F.posexplode_outer(F.flatten("rings")).alias("_k", "_p"))
-    p = p.withColumn("xi", x.index_column(F.col("_p.x"), atol)).withColumn("yi", y.index_column(F.col("_p.y"), atol)).select("geom_id", F.struct(F.coalesce("_k", F.lit(0)).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("_o"), "_p", "xi", "yi")
-    line = geometry.burn_lines(geometry.within(geoms.filter("kind = 'line'"), flat), flat, [])
-    before = Window.partitionBy("geom_id").orderBy("ring", "seg", "k")
-    line = line.withColumn("_same", (F.lag("xi").over(before) == F.col("xi")) & (F.lag("yi").over(before) == F.col("yi"))).filter("_same is null or not _same")
-    centre = F.struct(x.coord_column().cast("double").alias("x"), y.coord_column().cast("double").alias("y"))
-    line = line.select("geom_id", F.struct(F.col("ring").alias("a"), F.col("seg").alias("b"), F.col("k").alias("c")).alias("_o"), centre.alias("_p"), "xi", "yi")
-    area = geometry.burn(geoms, flat, kinds=("polygon",), **how)
-    area = area.select("geom_id", F.struct(F.col("yi").alias("a"), F.col("xi").alias("b"), F.lit(0).alias("c")).alias("_o"), centre.alias("_p"), "xi", "yi")
-    found = p.unionByName(line).unionByName(area)
+    p = geometry.only_points(geoms, flat).filter("kind = 'point'").select("geom_id", F.posexplode_outer(F.flatten("rings")).alias("_k", "_p"))
+    p = located(located(p, F.col("_p.x"), x, atol), F.col("_p.y"), y, atol).select("geom_id", F.struct(F.coalesce("_k", F.lit(0)).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("_o"), "_p", "xi", "yi")
+    found = p
+    if x.regular and y.regular:
+        line = geometry.burn_lines(geometry.within(geoms.filter("kind = 'line'"), flat), flat, [])
+        before = Window.partitionBy("geom_id").orderBy("ring", "seg", "k")
+        line = line.withColumn("_same", (F.lag("xi").over(before) == F.col("xi")) & (F.lag("yi").over(before) == F.col("yi"))).filter("_same is null or not _same")
+        centre = F.struct(x.coord_column().cast("double").alias("x"), y.coord_column().cast("double").alias("y"))
+        line = line.select("geom_id", F.struct(F.col("ring").alias("a"), F.col("seg").alias("b"), F.col("k").alias("c")).alias("_o"), centre.alias("_p"), "xi", "yi")
+        area = geometry.burn(geoms, flat, kinds=("polygon",), **how)
+        area = area.select("geom_id", F.struct(F.col("yi").alias("a"), F.col("xi").alias("b"), F.lit(0).alias("c")).alias("_o"), centre.alias("_p"), "xi", "yi")
+        found = p.unionByName(line).unionByName(area)
     joined = found.join(cells.df, ["xi", "yi"], "inner" if skipmissing else "left")
     if skipmissing:
         joined = joined.dropna("any", subset=names)

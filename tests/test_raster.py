@@ -403,3 +403,31 @@ def test_polygon_rule_on_random_rings(spark, corners):
                     n += 1
             want |= {(ix, iy)} if n % 2 else set()
     assert got == want
+
+
+@pytest.mark.parametrize("coords", [(1.0, 2.0, 10.0), (10.0, 2.0, 1.0)])
+def test_points_on_irregular_axes(spark, coords):
+    # Cells of the x axis reach to 0.5, 1.5, 6 and 14; the y axis has points.
+    grid = Grid((Dim("X", 3, coords=coords, sampling="intervals"), Dim("Y", 2, coords=(5.0, 7.0))))
+    at = {x: i for i, x in enumerate(coords, 1)}
+    cells = Cells(spark.range(6).selectExpr("cast(id % 3 + 1 as int) xi", "cast(floor(id / 3) + 1 as int) yi", "id v"), grid, ("v",))
+    geoms = geometry.from_rows(spark, [(k, "point", [[p]]) for k, p in enumerate([(5.9, 7.0), (6.0, 5.0), (6.0, 6.0), (20.0, 5.0), (1.0, 5.05)])])
+    value = lambda x, row: at[x] - 1 + 3 * row
+    got = {r.id: r.v for r in vector.extract(cells, geoms, geometry_column=False).collect()}
+    assert got == {0: value(2.0, 1), 1: value(10.0, 0), 2: None, 3: None, 4: None}
+    near = {r.id: r.v for r in vector.extract(cells, geoms, geometry_column=False, atol=0.1).collect()}
+    assert near == {**got, 4: value(1.0, 0)}
+    burned = {(r.geom_id, r.xi, r.yi) for r in geometry.burn(geoms, grid).collect()}
+    assert burned == {(0, at[2.0], 2), (1, at[10.0], 1)}
+    with pytest.raises(Exception, match="regular axes"):
+        vector.extract(cells, geometry.from_rows(spark, [(1, "line", [[(1, 5), (2, 5)]])]), geometry_column=False).collect()
+
+
+@pytest.mark.parametrize("dim", [Dim("X", 3, coords=(1.0, 2.0, 10.0)), Dim("X", 3, coords=(10.0, 2.0, 1.0)), Dim("X", 3, 5.0, -2.0), Dim("X", 1, coords=(4.0,))])
+def test_nearest_join_takes_the_lower_index(spark, dim):
+    values = [-9.0, 1.0, 1.5, 2.0, 4.0, 6.0, 6.1, 10.0, 99.0, None]
+    x = dim.values()
+    want = {v: min(range(1, dim.n + 1), key=lambda i: (abs(v - x[i - 1]), i)) if v is not None else None for v in values}
+    df = spark.createDataFrame([(v, 0) for v in values], "v double, xi int")
+    rows = join.nearest_join(df, "v", dim).collect()
+    assert len(rows) == len(values) and {r.v: r.xi for r in rows} == want
