@@ -262,17 +262,17 @@ class Grid:
             dims.append(Dim(name, n, start, step, sampling=sampling, locus=locus if sampling == "intervals" else "center", crs=crs))
         return cls(tuple(dims))
 
-    def union(self, other: Grid) -> Grid:
-        """The grid that covers both; regular axes must have one step and be aligned."""
-        return Grid(tuple(union_dim(a, other[a.name]) for a in self.dims), self.refdims)
+    def union(self, other: Grid, atol: float = 0.0) -> Grid:
+        """The grid that covers both; regular axes must have one step and be aligned, up to atol."""
+        return Grid(tuple(union_dim(a, other[a.name], atol) for a in self.dims), self.refdims)
 
 
-def union_dim(a: Dim, b: Dim) -> Dim:
+def union_dim(a: Dim, b: Dim, atol: float = 0.0) -> Dim:
     if a.regular and b.regular:
         if not math.isclose(a.step, b.step, rel_tol=1e-9):
             raise ValueError(f"axis {a.name}: steps {a.step} and {b.step} differ")
         shift = (b.coord(1) - a.coord(1)) / a.step
-        if abs(shift - round(shift)) > 1e-6:
+        if abs(shift - round(shift)) > max(1e-6, atol / abs(a.step)):
             raise ValueError(f"axis {a.name}: the grids are not aligned")
         low, high = min(0, round(shift)), max(a.n, round(shift) + b.n)
         return replace(a, n=high - low, first=a.first + low)

@@ -118,3 +118,25 @@ def reverse(cells: Cells, name: str) -> Cells:
 def permute(cells: Cells, order: tuple[str, ...]) -> Cells:
     """Axes in another order; cells do not move."""
     return cells.of(cells.df, Grid(tuple(cells.grid[n] for n in order), cells.grid.refdims))
+
+
+def reorder(cells: Cells, order: str | dict[str, str]) -> Cells:
+    """Each named axis (or, for one word, each that has an order) forward or reverse; cells keep their coordinates."""
+    wanted = order if isinstance(order, dict) else {d.name: order for d in cells.grid.dims if d.order != "unordered"}
+    for name, way in wanted.items():
+        has = cells.grid[name].order
+        if way not in ("forward", "reverse") or has == "unordered":
+            raise ValueError(f"axis {name} is {has} and cannot be put {way}")
+        cells = reverse(cells, name) if way != has else cells
+    return cells
+
+
+def rotate(cells: Cells, quarters: int = 1) -> Cells:
+    """The first two axes turned to the left by quarters of a turn: one is rotl90, two rot180, three (or -1) rotr90."""
+    a, b, *others = (d.name for d in cells.grid.dims)
+    turned = quarters % 4
+    if turned in (1, 2):
+        cells = reverse(cells, b)
+    if turned in (2, 3):
+        cells = reverse(cells, a)
+    return permute(cells, (b, a, *others)) if turned % 2 else cells

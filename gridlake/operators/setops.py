@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..cells import Cells
 from ..functions.reducers import reduce_column
 from ..grid import Dim, Grid
+from .join import located
 
 
 def _moved(cells: Cells, grid: Grid) -> Cells:
@@ -31,15 +32,22 @@ def _moved(cells: Cells, grid: Grid) -> Cells:
     return Cells(cells.df.select(*columns, *cells.layers), grid, cells.layers, cells.missingval)
 
 
-def mosaic(reducer: str | Callable[[Column], Column], regions: Sequence[Cells], missingval: Any = None, dense: bool = True, to: Grid | None = None) -> Cells:
-    """All regions on their union grid; overlapping cells are reduced, missing ones skipped, in region order."""
-    grid = to or reduce(lambda a, b: a.union(b), (r.grid for r in regions))
+def mosaic(reducer: str | Callable[[Column], Column], regions: Sequence[Cells], missingval: Any = None, dense: bool = True, to: Grid | None = None, atol: float = 0.0) -> Cells:
+    """All regions on their union grid; overlapping cells are reduced, missing ones skipped, in region order.
+
+    With a grid to, points take the cell whose coordinate is within atol of theirs, intervals the cell that contains it;
+    without one, regular axes of the regions may be atol out of line.
+    """
+    grid = to or reduce(lambda a, b: a.union(b, atol), (r.grid for r in regions))
     if to is None:
         parts = [_moved(r, grid).df.withColumn("_region", F.lit(k)) for k, r in enumerate(regions)]
     else:
         parts = []
         for k, r in enumerate(regions):
-            at = r.coords().select(*(to[d.name].index_column(F.col(d.name)).alias(d.column) for d in r.grid.dims), *r.layers)
+            at = r.coords().drop(*r.columns)
+            for d in r.grid.dims:
+                at = located(at, F.col(d.name), to[d.name], atol)
+            at = at.select(*grid.columns, *r.layers)
             parts.append(at.dropna("any", subset=grid.columns).withColumn("_region", F.lit(k)))
     layers = regions[0].layers
     union = reduce(lambda a, b: a.unionByName(b), parts)

@@ -64,6 +64,9 @@ _add(
 _add("skipmissing_count", _on(day, lambda c: select.skipmissing(c.dense()).agg(F.count("*").alias("cells"))), "select count(*) as cells from ev_dense where n is not null", *DENSE)
 _add("points_valid", _on(day, lambda c: select.points(c).select("xi", "yi", F.col("point.X").alias("x"), F.col("point.Y").alias("y"))), "select xi, yi, case when n is not null then cast(xi - 1 as double) end as x, case when n is not null then cast(yi as double) end as y from ev_dense", *DENSE)
 _add("reverse_axis", _on(day, lambda c: select.reverse(c, "Y")), "select xi, cast(31 - yi as int) as yi, n, v from ev_day", *DAY)
+_add("rotate_half", _on(day, lambda c: select.rotate(c, 2)), "select cast((select max(user_id) + 2 from events) - xi as int) as xi, cast(31 - yi as int) as yi, n, v from ev_day", *DAY)
+_add("rotate_left", _on(day, lambda c: select.rotate(c)), "select xi, cast(31 - yi as int) as yi, n, v from ev_day", *DAY)
+_add("reorder_axes", _on(day, lambda c: select.reorder(c, {"X": "reverse", "Y": "forward"})), "select cast((select max(user_id) + 2 from events) - xi as int) as xi, yi, n, v from ev_day", *DAY)
 _add("lookup_axis", _on(day, lambda c: c.df.sparkSession.createDataFrame(list(enumerate(select.lookup(c, "Y"), 1)), "i int, coord double")), "select cast(i as int) as i, cast(i as double) as coord from range(1, 31) r(i)")
 _add("extent_of", _on(li, lambda c: c.df.sparkSession.createDataFrame([(*c.grid.extent()["X"], *c.grid.extent()["Y"])], "x0 double, x1 double, y0 double, y1 double")), "select cast(0.5 as double) as x0, cast(50.5 as double) as x1, cast(-0.5 as double) as y0, cast(10.5 as double) as y1")
 

@@ -431,3 +431,27 @@ def test_nearest_join_takes_the_lower_index(spark, dim):
     df = spark.createDataFrame([(v, 0) for v in values], "v double, xi int")
     rows = join.nearest_join(df, "v", dim).collect()
     assert len(rows) == len(values) and {r.v: r.xi for r in rows} == want
+
+
+def test_rotate_and_reorder(spark):
+    a = np.arange(6.0).reshape(2, 3)
+    c = raster(spark, a)
+    for quarters in range(-1, 5):
+        turned = select.rotate(c, quarters)
+        assert np.array_equal(np.array(array(turned), float), np.rot90(a, quarters))
+    assert [d.name for d in select.rotate(c).grid.dims] == ["Y", "X"]
+    back = select.reorder(c, "reverse")
+    assert np.array_equal(np.array(array(back), float), a[::-1, ::-1]) and select.reorder(back, "forward").grid.extent() == c.grid.extent()
+    with pytest.raises(ValueError):
+        select.reorder(c, {"X": "sideways"})
+
+
+def test_mosaic_within_a_tolerance(spark):
+    a = raster(spark, [[1.0], [2.0]])
+    b = raster(spark, [[10.0], [20.0]], Dim("X", 2, 2.01, 1.0), Dim("Y", 1, 1.0, 1.0))
+    with pytest.raises(ValueError):
+        setops.mosaic("sum", [a, b])
+    assert array(setops.mosaic("sum", [a, b], atol=0.02)) == [[1], [12], [20]]
+    to = Grid((Dim("X", 3, coords=(1.0, 2.0, 3.0)), a.grid["Y"]))
+    assert array(setops.mosaic("sum", [a, b], to=to, atol=0.02)) == [[1], [12], [20]]
+    assert array(setops.mosaic("sum", [a, b], to=to)) == [[1], [2], [N]]
