@@ -130,10 +130,15 @@ _FROM = "from li_grid l join ox on ox.k = l.xi and ox.w > 0 join oy on oy.k = l.
 for _m, _s in (("average", "round(sum(price * (ox.w * oy.w)) / sum(ox.w * oy.w), 3)"), ("sum", "round(sum(price * (ox.w * oy.w)), 3)"), ("min", "min(price)"), ("max", "max(price)"), ("med", "median(price)"), ("q1", "quantile_cont(price, 0.25)"), ("q3", "quantile_cont(price, 0.75)"), ("rms", "round(sqrt(sum(price * price * (ox.w * oy.w)) / sum(ox.w * oy.w)), 2)")):
     _r = {"average": 3, "sum": 3, "rms": 2}.get(_m)
     _add(f"resample_{_m}", _on(li, lambda c, m=_m, r=_r: resample.resample(c["price"], _HALF, method=m).map(lambda x: F.round(x, r) if r else x)), f", {_OVER} select cast(ox.j as int) as xi, cast(oy.j as int) as yi, {_s} as price {_FROM}", "li_grid")
-_add("resample_mode", _on(li, lambda c: resample.resample(c["n"].map(lambda x: (x / 20).cast("int")), _HALF, method="mode")))
-_add("resample_cubic", _on(li, lambda c: resample.resample(c["price"], _FINE, method="cubic")))
-_add("resample_cubicspline", _on(li, lambda c: resample.resample(c["price"], _FINE, method="cubicspline")))
-_add("resample_lanczos", _on(li, lambda c: resample.resample(c["price"], _FINE, method="lanczos")))
+_add("resample_mode", _on(li, lambda c: resample.resample(c["n"].map(lambda x: (x / 20).cast("int")), _HALF, method="mode")), f", {_OVER}, counted as (select ox.j as x, oy.j as y, cast(trunc(n / 20) as int) as v, count(*) as c {_FROM.replace('group by 1, 2', 'group by 1, 2, 3')}), ranked as (select *, row_number() over (partition by x, y order by c desc, v) as r from counted) select cast(x as int) as xi, cast(y as int) as yi, v as n from ranked where r = 1", "li_grid")
+_KERNELS = {
+    "cubic": "case when t <= 1 then 1.5 * t ** 3 - 2.5 * t ** 2 + 1 when t < 2 then -0.5 * t ** 3 + 2.5 * t ** 2 - 4 * t + 2 else 0 end",
+    "cubicspline": "case when t <= 1 then (4 - 6 * t ** 2 + 3 * t ** 3) / 6 when t < 2 then (2 - t) ** 3 / 6 else 0 end",
+    "lanczos": "case when t = 0 then 1 when t < 3 then 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t) ** 2 else 0 end",
+}
+_FAR = "fx as (select j.i as j, k.i as k, cast(abs(1.5 + (j.i - 1) * 2.0 - k.i) as double) as t from range(1, 26) j(i), range(1, 51) k(i)), fy as (select j.i as j, k.i as k, cast(abs(-0.25 + (j.i - 1) * 0.5 - (k.i - 1)) as double) as t from range(1, 23) j(i), range(1, 12) k(i))"
+for _m, _k in _KERNELS.items():
+    _add(f"resample_{_m}", _on(li, lambda c, m=_m: resample.resample(c["price"], _FINE, method=m).map(lambda x: F.round(x, 2))), f", {_FAR}, wx as (select j, k, {_k} as w from fx), wy as (select j, k, {_k} as w from fy) select cast(wx.j as int) as xi, cast(wy.j as int) as yi, round(sum(price * (wx.w * wy.w)) / sum(wx.w * wy.w), 2) as price from li_grid l join wx on wx.k = l.xi join wy on wy.k = l.yi where abs(wx.w) > 1e-12 and abs(wy.w) > 1e-12 group by 1, 2", "li_grid")
 _add("warp_flags", _on(li, lambda c: resample.warp(c["price"], {"te": (0.5, -0.5, 50.5, 10.5), "ts": (25, 11), "r": "max"})), "select cast((xi + 1) // 2 as int) as xi, yi, max(price) as price from li_grid group by 1, 2", "li_grid")
 _LONLAT = Grid((Dim("X", 36, -180.0, 10.0, sampling="intervals", locus="start", crs="EPSG:4326", mappedcrs="EPSG:4326"), Dim("Y", 16, -80.0, 10.0, sampling="intervals", locus="start", crs="EPSG:4326", mappedcrs="EPSG:4326")))
 _MERCATOR_Y = "ln(tan(radians(-80 + (i - 1) * 10.0) / 2 + pi() / 4)) * 6378137.0"
