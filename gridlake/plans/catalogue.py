@@ -156,7 +156,8 @@ _add("cellarea_planar", lambda s, d: area.planar(s, _LONLAT).df, "select cast(a.
 _BAND = "6371008.8 * 6371008.8 * (sin(radians(-80 + b.i * 10.0)) - sin(radians(-80 + (b.i - 1) * 10.0)))"
 _add("cellarea_spherical", lambda s, d: area.spherical(s, _LONLAT).map(lambda x: F.round(x / 1e6, 3)).df, f"select cast(a.i as int) as xi, cast(b.i as int) as yi, round(10.0 / 360 * (2 * pi() * {_BAND}) / 1e6, 3) as area from range(1, 37) a(i), range(1, 17) b(i)")
 _add("cellsize", lambda s, d: area.cellsize(s, _LONLAT).map(lambda x: F.round(x, 3)).df, f"select cast(a.i as int) as xi, cast(b.i as int) as yi, round(10.0 / 360 * (2 * pi() * {_BAND}) / 1e6, 3) as area from range(1, 37) a(i), range(1, 17) b(i)")
-_add("cellarea_projected", lambda s, d: area.spherical(s, Grid((Dim("X", 20, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857"), Dim("Y", 20, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857")))).df)
+# Parallel sides are arcs of great circles between corners; each bounds, with the equator, 2 atan(tan(width / 2) sin(latitude)).
+_add("cellarea_projected", lambda s, d: area.spherical(s, Grid((Dim("X", 20, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857"), Dim("Y", 20, 0.0, 1e5, sampling="intervals", locus="start", crs="EPSG:3857")))).map(lambda x: F.round(x, -3)).df, f"select cast(i.i as int) as xi, cast(j.i as int) as yi, round(2 * (atan(tan(1e5 / 6378137.0 / 2) * sin(2 * atan(exp(j.i * 1e5 / 6378137.0)) - pi() / 2)) - atan(tan(1e5 / 6378137.0 / 2) * sin(2 * atan(exp((j.i - 1) * 1e5 / 6378137.0)) - pi() / 2))) * {area.RADIUS} * {area.RADIUS}, -3) as area from range(1, 21) i(i), range(1, 21) j(i)")
 
 # Union grids, slices and layers.
 _mosaic = lambda reducer: lambda s, d: setops.mosaic_by(R.li_regions(s, d), "region", reducer).df
