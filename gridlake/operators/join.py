@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,10 +103,33 @@ def nearest_join(df: DataFrame, value: str, dim: Dim) -> DataFrame:
     return df.withColumn(dim.column, F.when(F.col(value).isNotNull(), F.least(F.lit(dim.n), F.greatest(F.lit(1), x)).cast("int")))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, by: list[str], value: str) -> DataFrame:
-    """Each left row with the right value at the greatest key that is not above its own, by one sort per group."""
+def as_of_join(left: DataFrame, right: DataFrame, key: str, by: list[str], value: str, splits: Sequence[Any] = ()) -> DataFrame:
+    """Each left row with the right value at the greatest key that is not above its own, by one sort per group.
+
+    splits are keys at which groups are cut into parts that are sorted apart, so that a large group is many tasks;
+    key_splits() gives even ones. A part without an earlier value of its own takes the last one of the parts before it.
+    Equal nulls in by are one group. Of right rows with one key any may be taken.
+    """
     a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
     b = right.select(*by, key, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    order = Window.partitionBy(*by).orderBy(key, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(order)).filter("_side = 1").drop("_side", "_v")
+    cut = F.size(F.filter(F.array(*map(F.lit, splits)), lambda at: at <= F.col(key))) if splits else F.lit(0)
+    both = both.withColumn("_part", cut)
+    order = Window.partitionBy(*by, "_part").orderBy(key, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
+    if not splits:
+        return found.drop("_side", "_v", "_part")
+    # One value a group and part, so a group's list is no longer than splits.
+    ends = b.filter("_v is not null").withColumn("_part", cut).groupBy(*by, "_part").agg(F.max_by("_v", F.struct(key)).alias("_v"))
+    names = [f"_by{k}" for k in range(len(by))]
+    ends = ends.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.lit(0).alias("_all")).agg(F.collect_list(F.struct("_part", "_v")).alias("_ends"))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)), F.col("_zero") == F.col("_all"))
+    joined = found.withColumn("_zero", F.lit(0)).join(ends, same, "left")
+    earlier = F.array_max(F.filter("_ends", lambda e: e["_part"] < F.col("_part")))["_v"]
+    return joined.withColumn(value, F.coalesce(value, earlier)).drop("_side", "_v", "_part", "_zero", "_all", "_ends", *names)
+
+
+def key_splits(df: DataFrame, key: str, n: int) -> list:
+    """Keys that cut a frame of numbers into n parts of about the same number of rows."""
+    found = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 100 * n)).first()[0]
+    return sorted(set(found or []))

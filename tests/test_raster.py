@@ -455,3 +455,20 @@ def test_mosaic_within_a_tolerance(spark):
     to = Grid((Dim("X", 3, coords=(1.0, 2.0, 3.0)), a.grid["Y"]))
     assert array(setops.mosaic("sum", [a, b], to=to, atol=0.02)) == [[1], [12], [20]]
     assert array(setops.mosaic("sum", [a, b], to=to)) == [[1], [2], [N]]
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_as_of_join_in_parts(spark, by):
+    rng = np.random.default_rng(4)
+    rows = lambda n: [(int(g) if g < 3 else None, float(k)) for g, k in zip(rng.integers(0, 4, n), rng.choice(5000, n, replace=False) / 10, strict=True)]
+    left, right = rows(300), rows(60)
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(left)] + [(300, 1, None)], "i int, g int, t double").select("i", *by, "t")
+    b = spark.createDataFrame([(*r, j if j % 5 else None) for j, r in enumerate(right)], "g int, t double, v int").select(*by, "t", "v")
+    splits = join.key_splits(b, "t", 8)
+    assert len(splits) == 7
+    got = {r.i: r.v for r in join.as_of_join(a, b, "t", by, "v", splits).collect()}
+    want = {300: None}
+    for i, (g, t) in enumerate(left):
+        before = [(u, j) for j, (h, u) in enumerate(right) if (h == g or not by) and u <= t and j % 5]
+        want[i] = max(before)[1] if before else None
+    assert got == want == {r.i: r.v for r in join.as_of_join(a, b, "t", by, "v").collect()}
