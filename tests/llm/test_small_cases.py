@@ -117,6 +117,35 @@ def test_packing(spark, odd):
     assert packing.pack_documents(texts(spark, odd).limit(0), TOKENIZER, 2, 64).collect() == []
 
 
+def test_packing_moves_no_pieces(spark):
+    rnd = random.Random(4)
+    rows = [(d, "same text " * 3 if d % 2 else " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 150)))) for d in range(600)]
+    packed = packing.pack_documents(texts(spark, rows, 7), TOKENIZER, 2, 64)
+    # Pieces are placed where they were read: a shuffle would write as many files as it has partitions, and sort every piece.
+    assert not re.search("Exchange|Sort|Window|Join", packed._jdf.queryExecution().sparkPlan().toString() + packed._jdf.queryExecution().executedPlan().toString())
+    whole_and_few_sequences(packed.collect(), 64, sum(len(x) for _, x in expected_ids(rows)))
+    items = spark.range(0, 5000, 1, 9).select("id", (F.col("id") % 9 * 7 + 1).cast("int").alias("length"), F.lit("x").alias("chunk"), F.lit(-1).alias("before"))
+    placed = packing.pack(items.where("id % 9 < 4 or id > 2000").repartition(40, "length"), 64)
+    assert placed.columns == ["id", "length", "chunk", "before", "sequence_id", "offset"] and dict(placed.dtypes)["length"] == "int"
+    rows = placed.collect()
+    assert len({r.id for r in rows}) == len(rows) and {(r.chunk, r.before) for r in rows} == {("x", -1)}
+    whole_and_few_sequences(rows, 64, sum(i % 9 * 7 + 1 for i in range(5000) if i % 9 < 4 or i > 2000))
+    for bad in (None, 0, 65):
+        with pytest.raises(ValueError, match="length"):
+            packing.pack(spark.createDataFrame([(3,), (bad,)], "length long"), 64)
+
+
+def whole_and_few_sequences(rows, capacity, tokens):
+    """Every token is in a sequence, sequences have no gaps and no overlap, and there are as few as best-fit decreasing gives."""
+    assert sum(r.length for r in rows) == tokens
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= capacity
+    assert len(ends) == len(plain_best_fit([r.length for r in rows], capacity))
+
+
 def test_line_dedup(spark, odd, monkeypatch):
     monkeypatch.setattr(line_dedup, "KEYS_A_SHARD", 1)
     key = lambda x: x.strip(SPACE).translate(LOWER)
