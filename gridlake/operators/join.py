@@ -27,6 +27,11 @@ def broadcast_dims(a: Cells, b: Cells, f: Callable[[Column, Column], Column], la
     return a.of(a.df.join(right, shared, "left").withColumn(layer, f(F.col(a.layers[0]), F.col("_b"))), layers=[layer])
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as arrays and SQL have it: over zero it is infinite, 0 / 0 is NaN. Spark's own / raises there."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)  # a power of -1 keeps the sign of a zero
+
+
 def mask(cells: Cells, by: Cells, invert: bool = False, missingval: Any = None) -> Cells:
     """Values where the first layer of ``by`` has one (or, inverted, has none); elsewhere missingval."""
     shared = [c for c in cells.columns if c in by.columns]

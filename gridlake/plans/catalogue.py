@@ -83,7 +83,7 @@ _add("classify_matrix", _on(li, lambda c: values.classify(c["n"].map(lambda x: x
 _add("classify_others", _on(li, lambda c: values.classify(c["n"], [((90, 110), 1)], lower=lambda v, x: v > x, upper=lambda v, x: v <= x, others=0)), "select xi, yi, cast(case when n > 90 and n <= 110 then 1 else 0 end as int) as n from li_grid", "li_grid")
 _add("rasters_equal", _on(li, lambda c: c.df.sparkSession.createDataFrame([(values.same(c, c.dense()),)], "equal boolean")), "select true as equal")
 _add("cell_join", _on(day, lambda c: join.combine(c["n"], c["v"], lambda a, b: b / a, "mean")), "select xi, yi, v / n as mean from ev_day", *DAY)
-_add("broadcast_dims", _on(grid3, lambda c: join.broadcast_dims(c["v"], ag.reduce_dims(c["v"], "max", ["Ti"]), lambda a, b: a / b, "share")), ", m as (select xi, yi, max(v) as m from ev_grid group by 1, 2) select e.xi, e.yi, e.ti, e.v / m.m as share from ev_grid e join m using (xi, yi)", "ev_grid")
+_add("broadcast_dims", _on(grid3, lambda c: join.broadcast_dims(c["v"], ag.reduce_dims(c["v"], "max", ["Ti"]), join.quotient, "share")), ", m as (select xi, yi, max(v) as m from ev_grid group by 1, 2) select e.xi, e.yi, e.ti, e.v / m.m as share from ev_grid e join m using (xi, yi)", "ev_grid")
 _add("mask_raster", _on(day, lambda c: join.mask(c, c.of(c.df.filter("n >= 3")))), "select xi, yi, case when n >= 3 then n end as n, case when n >= 3 then v end as v from ev_day", *DAY)
 _add("mask_raster_inverted", _on(day, lambda c: join.mask(c, c.of(c.df.filter("n >= 3")), invert=True, missingval=0)), "select xi, yi, case when n < 3 then n else 0 end as n, case when n < 3 then v else 0 end as v from ev_day", *DAY)
 _add("mask_broadcast_dims", lambda s, d: join.mask(grid3(s, d), Cells(day(s, d).df.filter("n >= 4").select("xi", F.lit(1).alias("m")).distinct(), Grid((Dim("X", 1),)), ("m",))).df, "select xi, yi, ti, case when k then n end as n, case when k then v end as v from ev_grid left join (select distinct xi, true as k from ev_day where n >= 4) m using (xi)", "ev_day", "ev_grid")
